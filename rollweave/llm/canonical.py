@@ -84,7 +84,7 @@ def weighted_distance(a: str, b: str) -> tuple[int, float]:
 
 
 #: What may follow a title: a bracket, a part after a comma, a part after a dash or an at sign.
-_LAST = re.compile(r"(?:\s*[(\[][^()\[\]]*[)\]]|\s*,[^,]*|\s+[-–—@|]\s.*)\s*$")
+_LAST = re.compile(r"(?:\s*[(\[][^()\[\]]*[)\]]|\s*,(?:(?!\s[-–—@|]\s)[^,()\[\]])*|\s+[-–—@|]\s.*)\s*$")
 
 
 def title_forms(folded: str) -> list[str]:
