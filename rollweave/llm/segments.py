@@ -1,0 +1,46 @@
+"""Pigeonhole segment join for strings within ``k`` edits.
+
+A string cut into ``k + 1`` segments keeps at least one of them whole under ``k`` edits, moved by no more than the edits before it.
+``index_keys`` gives the segments of a string, ``probe_keys`` the substrings that could be such a segment of another one; two strings
+within ``k`` edits share a key. A swap of neighbours counts as one edit, so probes are also taken with the letters at each border swapped.
+"""
+
+from __future__ import annotations
+
+
+def cuts(length: int, k: int) -> list[tuple[int, int]]:
+    """Start and length of the ``k + 1`` segments of a string, the shorter ones first."""
+    n = k + 1
+    base, extra = divmod(length, n)
+    out, at = [], 0
+    for i in range(n):
+        size = base + (1 if i >= n - extra else 0)
+        out.append((at, size))
+        at += size
+    return out
+
+
+def index_keys(text: str, k: int) -> set[str]:
+    """Keys of the segments; strings of at most ``k`` characters have only the key of their length."""
+    if len(text) <= k:
+        return {f"{len(text)}:"}
+    return {f"{len(text)}:{i}:{text[p : p + n]}" for i, (p, n) in enumerate(cuts(len(text), k))}
+
+
+def probe_keys(text: str, k: int) -> set[str]:
+    """Keys under which any string within ``k`` edits of ``text`` has a segment in the index."""
+    out = set()
+    for length in range(max(0, len(text) - k), len(text) + k + 1):
+        if length <= k:
+            out.add(f"{length}:")
+            continue
+        moved = len(text) - length
+        for i, (p, n) in enumerate(cuts(length, k)):
+            lo, hi = max(0, p - i, p + moved - (k - i)), min(len(text) - n, p + i, p + moved + (k - i))
+            for at in range(lo, hi + 1):
+                out.add(f"{length}:{i}:{text[at : at + n]}")
+        if length == len(text):
+            for p, _ in cuts(length, k)[1:]:
+                swapped = text[: p - 1] + text[p] + text[p - 1] + text[p + 1 :]
+                out |= index_keys(swapped, k)
+    return out
