@@ -42,8 +42,11 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
 @lru_cache(maxsize=200_000)
-def parse_name(text: str | None) -> Name | None:
-    """Given name and surname of a name as typed; null if there aren't two words, or for a mailbox."""
+def parse_name(text: str | None, givens: frozenset[str] = frozenset()) -> Name | None:
+    """Given name and surname of a name as typed; null if there aren't two words, or for a mailbox.
+
+    ``givens`` are given names that are known to be common; they tell "Surname Given" from "Given Surname".
+    """
     if not text or "@" in text:
         return None
     short = ""
@@ -60,11 +63,12 @@ def parse_name(text: str | None) -> Name | None:
     else:
         order = left
         if len(order) == 1:
-            order = [w for w in re.split(r"(?<=[^\W\d_A-Z])(?=[^\W\d_a-z])", order[0]) if w] if not order[0].isupper() else order
-            order = [w for w in _camel(order[0])] if len(order) == 1 else order
+            order = _camel(order[0])
         if len(order) < 2:
             return None
-        if order[0].isupper() and len(order[0]) > 1 and not order[-1].isupper():
+        first, last = plain(order[0]), plain(order[-1])
+        turned = (last in givens or last in NICKNAMES) and not (first in givens or first in NICKNAMES or len(first) == 1) and len(order) == 2
+        if turned or order[0].isupper() and len(order[0]) > 1 and not order[-1].isupper() and len(order[-1]) > 1:
             given, surname = order[-1], "".join(order[:-1])  # "SURNAME Given"
         else:
             given, rest = order[0], order[1:]
@@ -152,9 +156,11 @@ def given_likeness(a: str, b: str) -> float:
 def surname_likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
+    if a[0] != b[0]:  # slips hardly ever hit the first letter, other names often differ in it
+        return 0.0
     if min(len(a), len(b)) > 3 and edits(a, b, 1) <= 1:
         return 0.9
-    if min(len(a), len(b)) > 7 and edits(a, b, 2) <= 2:
+    if min(len(a), len(b)) > 6 and edits(a, b, 2) <= 2:
         return 0.7
     return 0.0
 

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollweave.llm.linkage import common_hosts, linked, profile, profiles
+from rollweave.llm.linkage import common_givens, common_hosts, linked, profile, profiles
 from rollweave.session import cut, table
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``side`` (0 recruiter, 1 application), ``row`` and the profile ``p`` of every row of both tables, and the ``spelling`` of its name."""
+    """``side`` (0 recruiter, 1 application), ``row`` and the profile ``p`` of every row of both tables, and the ``spelling`` of its name and the ``firm`` as typed."""
     rec, ats = table(spark, sf_dir, "recruiter"), table(spark, sf_dir, "ats")
     rows = rec.select(F.lit(0).alias("side"), F.col("rec_id").alias("row"), "name", F.col("email").alias("mail"), "phone", F.col("current_company").alias("firm")).unionByName(
         ats.select(F.lit(1).alias("side"), F.col("ats_id").alias("row"), F.col("applicant_name").alias("name"), F.col("contact_email").alias("mail"), F.col("contact_phone").alias("phone"), F.col("current_employer").alias("firm"))
     )
-    hosts = common_hosts(rows.select("mail"))
-    return rows.select("side", "row", F.col("name").alias("spelling"), profile(F.col("name"), F.col("mail"), F.col("phone"), F.col("firm"), hosts).alias("p"))
+    hosts, givens = common_hosts(rows.select("mail")), common_givens(rows.select("name"))
+    return rows.select("side", "row", F.col("name").alias("spelling"), "firm", profile(F.col("name"), F.col("mail"), F.col("phone"), F.col("firm"), hosts, givens).alias("p"))
 
 
 def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rollweave.llm import p1_queries, p3_queries, p7_queries, p8_queries, p9_queries, p10_queries
+from rollweave.llm import p1_queries, p2_queries, p3_queries, p7_queries, p8_queries, p9_queries, p10_queries
 
-MODULES = (p1_queries, p3_queries, p7_queries, p8_queries, p9_queries, p10_queries)
+MODULES = (p1_queries, p2_queries, p3_queries, p7_queries, p8_queries, p9_queries, p10_queries)
 
 
 def queries() -> dict:
