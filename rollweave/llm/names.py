@@ -45,7 +45,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 def parse_name(text: str | None, givens: frozenset[str] = frozenset()) -> Name | None:
     """Given name and surname of a name as typed; null if there aren't two words, or for a mailbox.
 
-    ``givens`` are given names that are known to be common; they tell "Surname Given" from "Given Surname".
+    ``givens`` are given names that are known to be common, and their beginnings; they tell "Surname Given" from "Given Surname".
     """
     if not text or "@" in text:
         return None
@@ -56,8 +56,8 @@ def parse_name(text: str | None, givens: frozenset[str] = frozenset()) -> Name |
         short = inner if inner not in HONORIFICS else ""
         text = text[: m.start()] + " " + text[m.end() :]
     head, comma, tail = text.partition(",")
-    left, right = _words(head), _words(tail)
-    if comma and right:
+    left, right = _words(head), [w for w in _words(tail) if plain(w) not in HONORIFICS]
+    if comma and right and left:
         order = [*right, *left]  # "Surname, Given M."
         given, surname = right[0], "".join(left)
     else:
@@ -213,6 +213,16 @@ LEGAL = frozenset("ltd limited llc inc incorporated corp corporation gmbh ag plc
 FIRM_WORDS = {"sw": "software", "ins": "insurance", "log": "logistics", "hlth": "health", "analyt": "analytics", "grp": "group", "tech": "technologies", "sys": "systems", "svcs": "services", "svc": "services", "serv": "services", "intl": "international", "mfg": "manufacturing", "cons": "consulting", "hldgs": "holdings", "eng": "engineering", "mgmt": "management", "n": "northern"}
 
 
+#: One spelling for each legal form that has several (fixed values).
+_LEGAL_FORM = {"limited": "ltd", "incorporated": "inc", "corporation": "corp"}
+
+
+def legal_form(text: str) -> str:
+    """Legal form in a firm's name as typed, or ''."""
+    found = [w for w in (plain(x) for x in re.findall(r"[^\W_]+", text)) if w in LEGAL and w not in ("company", "co")]
+    return _LEGAL_FORM.get(found[-1], found[-1]) if found else ""
+
+
 class Firm(NamedTuple):
     words: tuple[str, ...]  # in the order of the full name, root first
     acronym: str  # not empty if only an acronym is given
