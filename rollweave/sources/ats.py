@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,10 @@ def _part(x: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(*[blank_to_null(_get(x, n, "string")) for n in names])
 
 
+def _copy(field: str) -> Callable[[Column], Column]:
+    return lambda s: claim(field, s, "direct_copy", CONFIDENCE)
+
+
 def json_claims(df: DataFrame, payload: str, row: Column | None = None) -> DataFrame:
     """Claims of JSON objects, one a row. A payload that isn't one, and a record without a name and an address, gives none; unknown keys are ignored."""
     spark = df.sparkSession
@@ -78,11 +84,11 @@ def json_claims(df: DataFrame, payload: str, row: Column | None = None) -> DataF
     first = lambda keys: F.coalesce(*[blank_to_null(F.get(texts(k), F.lit(0))) for k in keys])
     mail = first(("contact_email", "email", "email_address", "primary_email", "contact.email", "contact.emails", "profile.email"))
     name = first(("applicant_name", "name", "full_name", "candidate_name", "profile.name", "personal.name", "candidate.name"))
-    lists = [F.transform(_texts(v, k, f == "skills"), lambda s, f=f: claim(f, s, "direct_copy", CONFIDENCE)) for k, f in KEYS]
+    lists = [F.transform(_texts(v, k, f == "skills"), _copy(f)) for k, f in KEYS]
     for f, paths in PATHS:
         arrays = [_texts(v, p, False) for p in paths]
         found = F.coalesce(*[F.when(F.size(a) > 0, a) for a in arrays], F.array().cast("array<string>"))
-        lists.append(F.transform(found, lambda s, f=f: claim(f, s, "direct_copy", CONFIDENCE)))
+        lists.append(F.transform(found, _copy(f)))
     lists.append(F.array(*[claim(f"location.{p}", F.col(f"__place.{p}"), "location_parse", CONFIDENCE) for p in ("city", "region", "country")]))
     schools = F.transform(_items(v, SCHOOLING), lambda x: F.struct(*[_part(x, n).alias(p) for p, n in SCHOOL_PARTS.items()]))
     lists.append(F.transform(F.filter(schools, lambda e: e["institution"].isNotNull()), lambda e: claim("education", None, "direct_copy", CONFIDENCE, edu=e)))
