@@ -46,4 +46,4 @@ def shred(df: DataFrame, key: Column, row: Column, lists: list[Column], source:
 
 def split_list(text: Column) -> Column:
     """Items between commas, semicolons and bars, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, r"[,;|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"[,;|]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
