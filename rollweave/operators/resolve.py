@@ -52,8 +52,9 @@ def _ratio_keys(text: str, probe: bool) -> list[str]:
     out = set()
     for length in range(int(len(text) / far), int(len(text) * far) + 2):
         k = most(length)
+        moved = len(text) - length
         for i, (p, n) in enumerate(cuts(length, k)):
-            for at in range(max(0, p - k), min(len(text) - n, p + k) + 1):
+            for at in range(max(0, p - i, p + moved - (k - i)), min(len(text) - n, p + i, p + moved + (k - i)) + 1):
                 out.add(f"{length}:{i}:{text[at : at + n]}")
     return sorted(out)
 

@@ -41,31 +41,37 @@ SCHOOL_PARTS = {"institution": ("school", "institution", "university"), "degree"
 WORK_PARTS = {"company": ("employer", "company", "organization"), "title": ("role", "title", "position"), "start": ("start_date", "start"), "end": ("end_date", "end"), "summary": ("summary", "description")}
 
 
-def _get(v: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(v, f"$.{path}", kind)
+#: Parts of the nested objects that ``PATHS`` name.
+_NESTED: dict[str, list[str]] = {}
+for _, _paths in PATHS:
+    for _p in _paths:
+        _NESTED.setdefault(_p.split(".")[0], [])
+        if _p.split(".")[1] not in _NESTED[_p.split(".")[0]]:
+            _NESTED[_p.split(".")[0]].append(_p.split(".")[1])
+_NO_TEXTS = "array<string>"
 
 
-def _texts(v: Column, path: str, split: bool) -> Column:
-    """Values at a path as texts: the items of an array, the parts of a text that is a list, else the value itself."""
-    here = _get(v, path, "variant")
-    kind = F.schema_of_variant(here)
-    one = blank_to_null(_get(v, path, "string"))
-    single = split_list(one) if split else F.array(one)
-    return F.when(here.isNull() | (kind == "VOID"), F.array().cast("array<string>")).when(kind.startswith("ARRAY"), F.coalesce(_get(v, path, "array<string>"), F.array().cast("array<string>"))).otherwise(F.coalesce(single, F.array().cast("array<string>")))
+def _record(payload: Column) -> Column:
+    """All keys that count, as texts, in one parse: arrays and objects are given as JSON."""
+    names = dict.fromkeys([k for k, _ in KEYS] + list(_NESTED) + list(SCHOOLING) + list(WORK))
+    return F.from_json(payload, ", ".join(f"`{n}` string" for n in names))
 
 
-def _items(v: Column, keys: tuple[str, ...]) -> Column:
-    """Records under the first of the keys that holds any; an object counts as a list of one."""
-    tries = []
-    for k in keys:
-        here = _get(v, k, "variant")
-        kind = F.schema_of_variant(here)
-        tries.append(F.when(kind.startswith("ARRAY") & (kind != "ARRAY<VOID>"), _get(v, k, "array<variant>")).when(kind.startswith("OBJECT"), F.array(here)))
-    return F.coalesce(*tries, F.array().cast("array<variant>"))
+def _texts(raw: Column, split: bool) -> Column:
+    """Values in a text as ``_record`` gives it: the items of an array, the parts of a list, else the text itself; blanks stay out."""
+    one = blank_to_null(raw)
+    single = split_list(one) if split else F.array(one)
+    items = F.when(one.startswith("["), F.coalesce(F.from_json(one, _NO_TEXTS), single)).otherwise(single)
+    return F.filter(F.coalesce(F.when(one.isNotNull(), items), F.array().cast(_NO_TEXTS)), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
 
 
-def _part(x: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*[blank_to_null(_get(x, n, "string")) for n in names])
+def _items(raw: list[Column], parts: dict[str, tuple[str, ...]]) -> Column:
+    """Records under the first of the keys that holds any, with their parts; an object counts as a list of one."""
+    names = dict.fromkeys(n for ns in parts.values() for n in ns)
+    kind = "array<struct<" + ",".join(f"`{n}`:string" for n in names) + ">>"
+    lists = [F.when(r.rlike(r"^\s*[\[{]"), F.from_json(r, kind)) for r in raw]
+    found = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], F.array().cast(kind))
+    return F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: F.struct(*[F.coalesce(*[blank_to_null(x[n]) for n in ns]).alias(p) for p, ns in parts.items()]))
 
 
 def _copy(field: str) -> Callable[[Column], Column]:
@@ -73,28 +79,36 @@ def _copy(field: str) -> Callable[[Column], Column]:
 
 
 def json_claims(df: DataFrame, payload: str, row: Column | None = None) -> DataFrame:
-    """Claims of JSON objects, one a row. A payload that isn't one, and a record without a name and an address, gives none; unknown keys are ignored."""
+    """Claims of JSON objects, one a row. A payload that isn't one, and a record without a name and an address, gives none; unknown keys are ignored. A text that is a JSON array counts as one."""
     spark = df.sparkSession
-    work = df.withColumn("__at", F.monotonically_increasing_id() if row is None else row).withColumn("__v", F.try_parse_json(F.col(payload)))
-    work = work.filter(F.schema_of_variant("__v").startswith("OBJECT"))
-    v = F.col("__v")
-    place_text = F.coalesce(*[F.when(F.schema_of_variant(_get(v, k, "variant")) == "STRING", blank_to_null(_get(v, k, "string"))) for k in ("location", "address")])
-    work = work.withColumn("__place", parse_location(place_text, spark))
-    texts = lambda k: F.filter(_texts(v, k, False), lambda s: F.trim(s) != "")
-    first = lambda keys: F.coalesce(*[blank_to_null(F.get(texts(k), F.lit(0))) for k in keys])
+    work = df.withColumn("__at", F.monotonically_increasing_id() if row is None else row)
+    # the generator keeps the parse in one place; as a plain column it would be inlined into every use of a key
+    work = work.withColumn("__r", F.explode(F.array(_record(F.col(payload)))))
+    raw = lambda k: F.col(f"__r.`{k}`")
+    place = F.coalesce(*[F.when(~raw(k).rlike(r"^\s*[\[{]"), blank_to_null(raw(k))) for k in ("location", "address")])
+    work = work.withColumn("__place", parse_location(place, spark))
+    for k, parts in _NESTED.items():
+        work = work.withColumn(f"__n_{k}", F.when(raw(k).startswith("{"), F.from_json(raw(k), ", ".join(f"`{p}` string" for p in parts))))
+    nested = lambda p: F.col(f"__n_{p.split('.')[0]}.`{p.split('.')[1]}`")
+    # texts of every key and path, again in one place
+    every = dict.fromkeys([k for k, _ in KEYS] + [p for _, paths in PATHS for p in paths])
+    split = {k for k, f in KEYS if f == "skills"}
+    texts = F.struct(*[_texts(nested(k) if "." in k else raw(k), k in split).alias(k.replace(".", "_of_")) for k in every])
+    work = work.withColumn("__t", F.explode(F.array(texts)))
+    at = lambda k: F.col(f"__t.`{k.replace('.', '_of_')}`")
+    first = lambda keys: F.coalesce(*[F.get(at(k), F.lit(0)) for k in keys])
     mail = first(("contact_email", "email", "email_address", "primary_email", "contact.email", "contact.emails", "profile.email"))
     name = first(("applicant_name", "name", "full_name", "candidate_name", "profile.name", "personal.name", "candidate.name"))
-    lists = [F.transform(_texts(v, k, f == "skills"), _copy(f)) for k, f in KEYS]
+    lists = [F.transform(at(k), _copy(f)) for k, f in KEYS]
     for f, paths in PATHS:
-        arrays = [_texts(v, p, False) for p in paths]
-        found = F.coalesce(*[F.when(F.size(a) > 0, a) for a in arrays], F.array().cast("array<string>"))
+        found = F.coalesce(*[F.when(F.size(at(p)) > 0, at(p)) for p in paths], F.array().cast(_NO_TEXTS))
         lists.append(F.transform(found, _copy(f)))
     lists.append(F.array(*[claim(f"location.{p}", F.col(f"__place.{p}"), "location_parse", CONFIDENCE) for p in ("city", "region", "country")]))
-    schools = F.transform(_items(v, SCHOOLING), lambda x: F.struct(*[_part(x, n).alias(p) for p, n in SCHOOL_PARTS.items()]))
-    lists.append(F.transform(F.filter(schools, lambda e: e["institution"].isNotNull()), lambda e: claim("education", None, "direct_copy", CONFIDENCE, edu=e)))
-    jobs = F.transform(_items(v, WORK), lambda x: F.struct(*[_part(x, n).alias(p) for p, n in WORK_PARTS.items()]))
-    lists.append(F.transform(F.filter(jobs, lambda e: e["company"].isNotNull() | e["title"].isNotNull()), lambda e: claim("experience", None, "direct_copy", CONFIDENCE, exp=e)))
-    return shred(work, F.lower(F.coalesce(mail, name)), F.col("__at"), lists, "ats_json")
+    schools = F.filter(_items([raw(k) for k in SCHOOLING], SCHOOL_PARTS), lambda e: e["institution"].isNotNull())
+    lists.append(F.transform(schools, lambda e: claim("education", None, "direct_copy", CONFIDENCE, edu=e)))
+    jobs = F.filter(_items([raw(k) for k in WORK], WORK_PARTS), lambda e: e["company"].isNotNull() | e["title"].isNotNull())
+    lists.append(F.transform(jobs, lambda e: claim("experience", None, "direct_copy", CONFIDENCE, exp=e)))
+    return shred(work, F.lower(F.trim(F.coalesce(mail, name))), F.col("__at"), lists, "ats_json")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
