@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +42,8 @@ _STRETCH = re.compile(r"[^\x00-\x7f]+")
 _LETTERS = re.compile(r"[^\W\d_]")
 
 
-def _wrong(data: bytes, codec: str) -> str | None:
-    """``data`` read in ``codec``; bytes without a meaning there become control characters, as browsers read them."""
-    try:
-        return data.decode(codec)
-    except UnicodeDecodeError:
-        if not codec.startswith(("cp125", "iso8859")):
-            return None
-        return "".join(bytes([b]).decode(codec) if b < 0x80 else _byte(b, codec) for b in data)
-
-
 def _byte(b: int, codec: str) -> str:
+    """A byte read in ``codec``; one without a meaning there becomes a control character, as browsers read it."""
     try:
         return bytes([b]).decode(codec)
     except UnicodeDecodeError:
@@ -68,6 +60,7 @@ def _table(codec: str) -> list[str]:
 
 
 def _read(data: bytes, codec: str) -> str:
+    """``data`` read in ``codec``."""
     t = _table(codec)
     return "".join([t[b] for b in data])
 
@@ -171,3 +164,60 @@ def affected_units(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """``doc``, ``unit``, ``original``, ``chain``, ``kind`` of every garbled unit of every document."""
     found = cut(document_units(docs, doc, text))
     return found.join(garbled_units(found), "unit")
+
+
+def _unread(stretch: str, chain: str) -> str | None:
+    """What a stretch was before a chain of UTF-8 misreadings, null if it can't have come of it."""
+    text = stretch
+    for codec in reversed(chain.split(">")[1::2]):
+        table = {c: b for b, c in enumerate(_table(codec))}
+        try:
+            text = bytes([table[c] if c in table else ord(c) for c in text]).decode("utf-8")
+        except (ValueError, UnicodeDecodeError):
+            return None
+    return text if text.isprintable() else None
+
+
+def restore(text: str, known: dict[str, str | None], chains: list[str]) -> tuple[str, int, int]:
+    """Text with its garbled units replaced, the number of places replaced and of places left as they are.
+
+    A word in ``known`` is replaced as a whole, else its stretches are; a stretch that isn't known is read back by the ``chains`` that
+    the text was seen to have gone through.
+    """
+    done = left = 0
+
+    def stretch(m: re.Match) -> str:
+        nonlocal done, left
+        s = m[0]
+        to = known.get(s) or (next((r for c in chains if (r := _unread(s, c)) and r != s), None) if LOST not in s else None)
+        done += to is not None
+        left += to is None and (s in known or LOST in s)
+        return to if to is not None else s
+
+    def word(m: re.Match) -> str:
+        nonlocal done
+        to = known.get(m[0])
+        if to is not None:
+            done += 1
+            return to
+        return _STRETCH.sub(stretch, m[0])
+
+    return _UNIT.sub(word, text), done, left
+
+
+def restored(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc``, ``text`` as it was before, ``replaced`` and ``left`` places, for every affected document.
+
+    The units of a document are gathered with it, never more than the document holds.
+    """
+    found = affected_units(docs, doc, text)
+    chain = F.when(F.col("kind") == 2, F.col("chain"))
+    per = found.groupBy("doc").agg(F.collect_list(F.struct("unit", "original")).alias("known"), F.array_sort(F.collect_set(chain)).alias("chains"))
+
+    @F.pandas_udf("text string, replaced int, left int")
+    def run(texts: pd.Series, known: pd.Series, chains: pd.Series) -> pd.DataFrame:
+        rows = [restore(t, {u["unit"]: u["original"] for u in k}, list(c)) for t, k, c in zip(texts, known, chains, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "replaced", "left"])
+
+    whole = docs.select(F.col(doc).alias("doc"), F.col(text).alias("__text")).join(per, "doc")
+    return whole.select("doc", run("__text", "known", "chains").alias("r")).select("doc", "r.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollweave.llm.garbling import affected_units
+from rollweave.llm.garbling import affected_units, restored
 from rollweave.session import table
 
 
@@ -14,8 +14,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return affected_units(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("doc").alias("doc_id")).distinct()
 
 
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The original text of the affected documents, as far as it can be had."""
+    return restored(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict:
-    return {"p10_found": p10_found}
+    return {"p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,12 +29,14 @@ def name_key(name: Column) -> Column:
     return F.array_join(F.array_sort(F.regexp_extract_all(F.lower(name), F.lit(r"([\p{L}\p{M}]+)"), 1)), " ")
 
 
-def _claims(df: DataFrame) -> DataFrame:
-    def source(of: str) -> Column:
-        return F.get(F.filter("provenance", lambda p: p["field"] == of), F.lit(0))["source"]
+def _source(of: Column) -> Column:
+    """Source of the provenance entry for a field."""
+    return F.get(F.filter("provenance", lambda p: p["field"] == of), F.lit(0))["source"]
+
 
-    name = F.struct(F.lit("full_name").alias("field"), F.when(usable_name(F.col("full_name")), name_key(F.col("full_name"))).alias("value"), source("full_name").alias("source"))
-    mail = F.struct(F.lit("primary_email").alias("field"), F.when(usable_email(F.col("primary_email")), F.lower("primary_email")).alias("value"), source("emails").alias("source"))
+def _claims(df: DataFrame) -> DataFrame:
+    name = F.struct(F.lit("full_name").alias("field"), F.when(usable_name(F.col("full_name")), name_key(F.col("full_name"))).alias("value"), _source(F.lit("full_name")).alias("source"))
+    mail = F.struct(F.lit("primary_email").alias("field"), F.when(usable_email(F.col("primary_email")), F.lower("primary_email")).alias("value"), _source(F.lit("emails")).alias("source"))
     return df.select(F.col("candidate_id").alias("gid"), F.col("row_id").alias("row"), F.col("updated_at").alias("at"), F.explode(F.array(name, mail)).alias("c")).select("gid", "row", "at", "c.*")
 
 
@@ -52,8 +54,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _survivors(spark, sf_dir).select(F.col("gid").alias("candidate_id"), F.col("field").alias("field_name"), F.col("row").alias("row_id"))
 
 
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per repeated candidate, built field by field; every value with its row and source."""
+    won = _survivors(spark, sf_dir)
+    raw = table(spark, sf_dir, "candidates_combined_1ab46684")
+    held = raw.select(F.col("row_id").alias("row"), "full_name", "primary_email", "provenance").join(won, "row")
+    part = F.struct(F.when(F.col("field") == "full_name", F.col("full_name")).otherwise(F.col("primary_email")).alias("value"), F.col("row").alias("row"), _source(F.when(F.col("field") == "full_name", "full_name").otherwise("emails")).alias("source"), F.round("support", 6).alias("support"))
+    wide = held.withColumn("part", part).groupBy(F.col("gid").alias("candidate_id")).agg(*[F.max(F.when(F.col("field") == f, F.col("part"))).alias(f) for f in ("full_name", "primary_email")])
+    return wide.select("candidate_id", *[F.col(f"{f}.{c}").alias(f if c == "value" else f"{f}_{c}") for f in ("full_name", "primary_email") for c in ("value", "row", "source", "support")])
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found}
+    return {"p3_found": p3_found, "p3_records": p3_records}
 
 
 _USABLE_NAME = r"""regexp_matches(full_name, '[\p{L}\p{M}][\p{L}\p{M}''’-]*[\p{L}\p{M}].*[^\p{L}\p{M}''’-]+.*[\p{L}\p{M}][\p{L}\p{M}''’-]*[\p{L}\p{M}]')

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from rollweave.llm.garbling import LOST, affected_units, garbled_forms, units
+from rollweave.llm.garbling import LOST, affected_units, garbled_forms, restore, restored, units
 from rollweave.llm.leakage import leaks, words
 from rollweave.llm.packing import pack, pack_items, sum_of_squares
 
@@ -152,3 +152,12 @@ def test_affected_documents(spark):
     assert set(got) == set(range(100, 107))
     assert got[100]["GrÃ¶ÃŸe"] == "Größe" and got[101][double] == "Größe" and got[102]["Íàâûêè"] == "Навыки"
     assert affected_units(df.limit(0), "id", "text").count() == 0
+
+
+def test_restore(spark):
+    assert restore("Die GrÃ¶ÃŸe, CafÃ© Ã\x9cber", {"GrÃ¶ÃŸe": "Größe", "Ã©": "é"}, ["utf-8>cp1252"]) == ("Die Größe, Café Über", 3, 0)
+    assert restore(f"x{LOST}y plain", {f"x{LOST}y": None, LOST: None}, []) == (f"x{LOST}y plain", 0, 1)
+    assert restore("", {}, []) == ("", 0, 0)
+    rows = [(1, "Größe der Brücke"), (2, "GrÃ¶ÃŸe der BrÃ¼cke"), (3, None), (4, "plain"), (5, f"Gr{LOST * 2}{LOST * 2}e")]
+    got = {r["doc"]: (r["text"], r["left"]) for r in restored(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect()}
+    assert got == {2: ("Größe der Brücke", 0), 5: ("Größe", 0)}
