@@ -153,8 +153,11 @@ def garbled_units(doc_units: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(originals, pa.string()), pa.array(chains, pa.string()), pa.array(kinds, pa.int32()), pa.array(ns, pa.int64())], ["unit", "original", "chain", "kind", "m"])
 
     forms = known.unionByName(signs).mapInArrow(garble, "unit string, original string, chain string, kind int, m bigint")
-    hit = forms.join(known, "unit").filter((F.col("kind") == 2) | ((F.col("kind") == 1) & (F.col("m") > F.col("n"))) | (F.col("kind") == 0))
-    best = hit.groupBy("unit").agg(F.max_by(F.struct("original", "chain", "kind"), F.struct("kind", "m", "original")).alias("b"), F.count_distinct("original").alias("ways"))
+    hit = cut(forms.join(known, "unit").filter((F.col("kind") == 2) | ((F.col("kind") == 1) & (F.col("m") > F.col("n"))) | (F.col("kind") == 0)))
+    # an original that is a garbled unit itself is the last resort
+    dirty = hit.filter("kind > 0").select(F.col("unit").alias("original"), F.lit(False).alias("clean")).distinct()
+    hit = hit.join(dirty, "original", "left").withColumn("clean", F.coalesce("clean", F.lit(True)))
+    best = hit.groupBy("unit").agg(F.max_by(F.struct("original", "chain", "kind"), F.struct("clean", "kind", "m", "original")).alias("b"), F.count_distinct(F.when(F.col("clean"), F.col("original"))).alias("ways"))
     told = best.select("unit", F.when((F.col("b.kind") > 0) | (F.col("ways") == 1), F.col("b.original")).alias("original"), F.col("b.chain").alias("chain"), F.col("b.kind").alias("kind"))
     lost = known.filter(F.col("unit").contains(LOST)).select("unit")
     return lost.join(told, "unit", "full").select("unit", "original", F.coalesce("chain", F.lit("lost")).alias("chain"), F.coalesce("kind", F.lit(0)).alias("kind"))
