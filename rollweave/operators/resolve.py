@@ -24,25 +24,27 @@ BUCKET = 2**33
 
 
 def source_entities(claims: DataFrame) -> DataFrame:
-    """One row per (source, candidate_key): ``ent`` (grows with arrival), ``name``, ``company`` and ``keys`` (array of kind and key)."""
+    """One row per (source, candidate_key): ``ent`` (grows with arrival), ``name`` and ``company``, each the first that is given."""
     value = F.col("value_text")
-    key = (
-        F.when(F.col("field") == "emails", F.struct(F.lit("email").alias("kind"), norm_email(value).alias("key")))
-        .when(F.col("field") == "phones", F.struct(F.lit("phone").alias("kind"), norm_phone(F.when(F.col("field") == "phones", value)).alias("key")))
-        .when(F.col("field") == "links.github", F.struct(F.lit("github").alias("kind"), github_login(value).alias("key")))
-    )
-    c = claims.withColumn("k", key)
     name = F.when(F.col("field") == "full_name", norm_name(value))
     firm = F.when(F.col("field") == "current_company", F.nullif(F.lower(F.trim(value)), F.lit("")))
-    e = c.groupBy("source", "candidate_key").agg(
+    e = claims.groupBy("source", "candidate_key").agg(
         F.min("ord").alias("first"),
         F.min_by(name, F.when(name.isNotNull(), F.col("ord"))).alias("name"),
         F.min_by(firm, F.when(firm.isNotNull(), F.col("ord"))).alias("company"),
-        F.collect_set(F.when(F.col("k.key").isNotNull(), F.col("k"))).alias("keys"),
     )
     return e.orderBy("first").withColumn("ent", F.monotonically_increasing_id())
 
 
+def identity_keys(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """``ent``, ``kind`` and ``key`` of the addresses, numbers and profiles of every record, each once."""
+    value = F.col("value_text")
+    c = claims.filter(F.col("field").isin("emails", "phones", "links.github")).select("source", "candidate_key", "field", "value_text").distinct()
+    key = F.when(F.col("field") == "emails", norm_email(value)).when(F.col("field") == "phones", norm_phone(F.when(F.col("field") == "phones", value))).otherwise(github_login(value))
+    keyed = c.select("source", "candidate_key", F.col("field").alias("kind"), key.alias("key")).filter(F.col("key").isNotNull())
+    return keyed.join(entities.select("source", "candidate_key", "ent"), ["source", "candidate_key"]).select("ent", "kind", "key").distinct()
+
+
 def _ratio_keys(text: str, probe: bool) -> list[str]:
     """Segments by which two texts of a ratio of at least ``NAME_RATIO`` meet; see ``segments``: k depends on the length of the indexed text."""
     far = (200 - NAME_RATIO) / NAME_RATIO  # longest partner, as a multiple
@@ -103,10 +105,13 @@ def _least_before(rows: DataFrame, keys: list[str]) -> DataFrame:
     return r.join(per, [*keys, "b"]).withColumn("m", F.least(F.coalesce("m1", "m2"), F.coalesce("m2", "m1"))).drop("b", "m1", "m2")
 
 
-def greedy_clusters(entities: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """``ent`` and ``cluster_id`` (the first record of the cluster) by the sequential rule. Records without keys, name or firm stay alone."""
-    e = cut(entities.select("ent", "keys", "company", "name", token_sorted(F.col("name")).alias("sorted")))
-    keys = cut(e.select("ent", F.explode("keys").alias("k")).select("ent", "k.kind", "k.key"))
+def greedy_clusters(entities: DataFrame, keys: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """``ent`` and ``cluster_id`` (the first record of the cluster) by the sequential rule. Records without keys, name or firm stay alone.
+
+    ``entities`` has ``ent``, ``name`` and ``company``, ``keys`` has ``ent``, ``kind`` and ``key``.
+    """
+    e = cut(entities.select("ent", "company", "name", token_sorted(F.col("name")).alias("sorted")))
+    keys = cut(keys)
     # whether an earlier record shares a key doesn't depend on labels
     hit = _least_before(keys.withColumn("c", F.col("ent")), ["kind", "key"]).filter("m IS NOT NULL").select("ent").distinct()
     alone = e.join(hit, "ent", "left_anti").filter(F.col("sorted").isNotNull() & F.col("company").isNotNull())
@@ -134,5 +139,5 @@ def greedy_clusters(entities: DataFrame, most_rounds: int = 100) -> DataFrame:
 def resolve(claims: DataFrame) -> DataFrame:
     """``claims`` with ``cluster_id`` and ``member`` (order of the record in the cluster)."""
     entities = cut(source_entities(claims))
-    placed = greedy_clusters(entities).join(entities.select("ent", "source", "candidate_key"), "ent")
+    placed = greedy_clusters(entities, identity_keys(claims, entities)).join(entities.select("ent", "source", "candidate_key"), "ent")
     return claims.join(placed.select("source", "candidate_key", F.col("ent").alias("member"), "cluster_id"), ["source", "candidate_key"])

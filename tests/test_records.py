@@ -81,8 +81,9 @@ def test_clusters_equal_the_sequential_rule(spark, seed):
     rnd = random.Random(seed)
     names = ["jon smith", "john smith", "smith john", "jane doe", "jane m doe", "bob", None]
     rows = [(i * 2**31, [("email", f"k{rnd.randrange(25)}") for _ in range(rnd.choice([0, 1, 1, 2]))], rnd.choice(names), rnd.choice(["acme", "bolt", None])) for i in range(60)]
-    df = spark.createDataFrame([(e, [{"kind": a, "key": b} for a, b in k], n, c) for e, k, n, c in rows], "ent bigint, keys array<struct<kind:string,key:string>>, name string, company string")
-    got = {r["ent"]: r["cluster_id"] for r in greedy_clusters(df).collect()}
+    df = spark.createDataFrame([(e, n, c) for e, _, n, c in rows], "ent bigint, name string, company string")
+    keys = spark.createDataFrame([(e, a, b) for e, k, _, _ in rows for a, b in k], "ent bigint, kind string, key string").distinct()
+    got = {r["ent"]: r["cluster_id"] for r in greedy_clusters(df, keys).collect()}
     assert got == greedy(rows)
 
 
