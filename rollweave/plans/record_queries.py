@@ -313,6 +313,10 @@ SELECT field, 'recruiter_csv' AS source, count(*) AS n, count(DISTINCT key) AS p
         "json_path_claims": f"WITH r AS (SELECT payload FROM ats_raw WHERE {named}) SELECT * FROM ({json_counts}) WHERE n > 0",
         "normalize_email": f"SELECT * FROM (SELECT rec_id, {_norm_email('email')} AS email_norm FROM recruiter) WHERE email_norm IS NOT NULL",
         "rejections_log": f"SELECT ats_id, 'emails' AS field, contact_email AS value, 'normalization_failed' AS reason FROM ats WHERE {_STRIP.format('contact_email')} <> '' AND ({_norm_email('contact_email')}) IS NULL",
+        "phone_normalize": r"""WITH b AS (SELECT ats_id, regexp_replace(contact_phone, '\s*(ext\.?|x|#)\s*\d{1,6}\s*$', '', 'i') AS body FROM ats),
+d AS (SELECT ats_id, body, regexp_replace(body, '[^0-9]', '', 'g') AS d FROM b WHERE NOT contains(body, '+') OR regexp_replace(body, '[^0-9]', '', 'g')[1] = '1'),
+n AS (SELECT ats_id, CASE WHEN regexp_full_match(d, '[2-9]\d{2}[2-9]\d{6}') AND NOT contains(body, '+') THEN d WHEN regexp_full_match(d, '1[2-9]\d{2}[2-9]\d{6}') THEN d[2:] END AS n FROM d)
+SELECT ats_id, '+1' || n AS phone FROM n WHERE n IS NOT NULL""",
         "url_normalize": r"""SELECT rec_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim('(HTTPS://www.' || split_part(email, '@', 2) || '/' || split_part(email, '@', 1) || '/),'),
  '^[()\[\]{}<>]+|[()\[\]{}<>]+$', '', 'g'), '[).,;]+$', ''), '^https?://', '', 'i'), '^www\.', '', 'i'), '/+$', '') AS url FROM recruiter WHERE len(string_split(email, '@')) = 2""",
         "strip_markup": r"""SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]+\)', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '<[^>]+>', ' ', 'g'), '`{1,3}([^`]*)`{1,3}', '\1', 'g') AS t FROM documents)""",
