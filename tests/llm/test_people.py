@@ -117,6 +117,20 @@ def test_hot_line_is_split(spark):
     assert {(node[0, i], node[1, 1000 + i]) for i in range(20)} <= got
 
 
+def test_large_classes_are_split_by_given_names(spark, monkeypatch):
+    from rollweave.llm import linkage
+
+    given = ["Anna", "Anton", "Agnes", "Amara", "Astrid", "Aylin", "Abigail", "Andrew", "Alexander"]
+    rows = [(s, s * 1000 + i, f"{g} Kalovric", None, f"411 55{s} 1{i:03d}", "Krydo Marine Corp") for s in (0, 1) for i, g in enumerate(given)]
+    rows += [(1, 1500, "Agnse Kalovric", None, None, "KRYDO Marine"), (1, 1501, "Abby Kalovric", None, None, "Krydo Marine"), (1, 1502, "Alex Kalovric", None, None, "Krydo Marine")]
+    table = profiles(people(spark, rows))
+    node = {r["row"]: r["node"] for r in table.collect()}
+    want = {(node[i], node[1000 + i]) for i in range(len(given))} | {(node[2], node[1500]), (node[6], node[1501]), (node[8], node[1502])}
+    for most in (2_000, 3):
+        monkeypatch.setattr(linkage, "HOT_BLOCK", most)
+        assert want <= {(r["u"], r["v"]) for r in linked(table.select("node", "side", "p"), across=True).collect()}
+
+
 def test_spellings(spark):
     groups = person_groups(people(spark, PEOPLE))
     got = {tuple(r) for r in pairs_within(groups, "component", "spelling").collect()}
