@@ -15,7 +15,7 @@ from rollweave.operators.merge import candidate_id, merge_list, merge_scalar, me
 from rollweave.operators.project import Config, confidence_band, project_json, project_struct, validation_errors
 from rollweave.operators.resolve import alike_names, resolve
 from rollweave.plans.pipeline import consolidate, load_config
-from rollweave.session import table
+from rollweave.session import cut, table
 from rollweave.sources.ats import json_claims
 from rollweave.sources.csv import table_claims
 from rollweave.sources.documents import text_claims
@@ -151,7 +151,7 @@ def _people_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def greedy_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    placed = resolve(_people_claims(spark, sf)).select("source", "candidate_key", "member", "cluster_id").distinct()
+    placed = resolve(cut(_people_claims(spark, sf))).select("source", "candidate_key", "member", "cluster_id").distinct()
     return placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("source").alias("sources"))
 
 
