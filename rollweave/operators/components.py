@@ -26,4 +26,6 @@ def connected(edges: DataFrame, a: str, b: str, most_rounds: int = 40) -> DataFr
         label = new.select("node", "c")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     return label.select("node", F.col("c").alias("component"))

@@ -105,7 +105,7 @@ def _least_before(rows: DataFrame, keys: list[str]) -> DataFrame:
     return r.join(per, [*keys, "b"]).withColumn("m", F.least(F.coalesce("m1", "m2"), F.coalesce("m2", "m1"))).drop("b", "m1", "m2")
 
 
-def greedy_clusters(entities: DataFrame, keys: DataFrame, most_rounds: int = 100) -> DataFrame:
+def greedy_clusters(entities: DataFrame, keys: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """``ent`` and ``cluster_id`` (the first record of the cluster) by the sequential rule. Records without keys, name or firm stay alone.
 
     ``entities`` has ``ent``, ``name`` and ``company``, ``keys`` has ``ent``, ``kind`` and ``key``.
@@ -133,6 +133,8 @@ def greedy_clusters(entities: DataFrame, keys: DataFrame, most_rounds: int = 100
         label = new.select("ent", "c")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     return label.select("ent", F.col("c").alias("cluster_id"))
 
 
