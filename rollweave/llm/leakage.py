@@ -2,11 +2,13 @@
 
 1. ``build_index`` reads every training text once and stores postings (term, document, position). Only terms of the evaluation
    vocabulary can match, and a shared run of ``run`` words lies within a stretch of at least ``run`` such terms, so postings
-   outside such stretches are not stored; this loses no match.
+   outside such stretches are not stored; this loses no phrase.
 2. ``phrase_matches`` orders the terms of every window of ``run`` evaluation words by their frequency in the index, looks up the
    rarest one, intersects its offset-adjusted postings with those of the next rarest, and checks the alignments that are left
    word by word, joining consecutive matches to runs.
-3. ``proximity_matches`` finds documents that hold the rarest terms of an item close together in any order.
+3. ``proximity_matches`` finds documents that hold the rarest terms of an item close together in any order. Other words may stand
+   between them, so stretches don't matter here: ``term_counts`` counts every term of the vocabulary in every text, and a second
+   reading stores all postings of the terms that are the rarest of some item.
 
 The evaluation side goes to all tasks in blocks of at most ``BLOCK_CHARS`` characters; one block is one pass over the corpus. A
 word is a run of letters or digits in lower case; HTML tags count as spaces. Terms are kept as numbers of the block's vocabulary.
@@ -15,6 +17,7 @@ word is a run of letters or digits in lower case; HTML tags count as spaces. Ter
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -107,15 +110,33 @@ def phrase_matches(index: DataFrame, tokens: DataFrame, run: int) -> DataFrame:
     return runs.filter(F.col("length") >= run).select("doc", "item", (F.col("shift") + F.col("item_pos")).alias("doc_pos"), "item_pos", "length")
 
 
-def proximity_matches(index: DataFrame, tokens: DataFrame, terms: int, span: int) -> DataFrame:
-    """Documents with the ``terms`` rarest distinct terms of an item within ``span`` words, in any order: ``doc``, ``item``, ``doc_pos``.
+def term_counts(docs: DataFrame, text: str, vocabulary: dict[str, int]) -> DataFrame:
+    """``term`` and ``df``, how often it occurs in all texts. Terms that don't occur have no row."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    ``doc_pos`` is the first such place. Items with fewer distinct terms in the index can't match.
-    """
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rare = tokens.join(df, "term").select("item", "term", "df").distinct()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shared.value.get
+        for batch in batches:
+            n = Counter(k for t in batch.column(0) for w in words(t.as_py()) if (k := ids(w)) is not None)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+
+    return docs.select(text).mapInArrow(scan, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def rarest_terms(counts: DataFrame, tokens: DataFrame, terms: int) -> DataFrame:
+    """``item`` and ``term``: the ``terms`` rarest distinct terms of each item that occur at all. Items with fewer have none."""
+    rare = tokens.join(counts, "term").select("item", "term", "df").distinct()
     rare = rare.groupBy("item").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "term"))), 1, terms).alias("r")).filter(F.size("r") == terms)
-    hits = index.join(F.broadcast(rare.select("item", F.explode("r.term").alias("term"))), "term")
+    return rare.select("item", F.explode("r.term").alias("term"))
+
+
+def proximity_matches(index: DataFrame, rare: DataFrame, terms: int, span: int) -> DataFrame:
+    """Documents with all ``terms`` rare terms of an item within ``span`` words, in any order: ``doc``, ``item``, ``doc_pos``.
+
+    ``doc_pos`` is the first such place. ``index`` must hold every posting of the terms in ``rare`` (``item``, ``term``), which must be
+    small enough to broadcast.
+    """
+    hits = index.join(F.broadcast(rare), "term")
     near = Window.partitionBy("doc", "item").orderBy("pos").rangeBetween(0, span - 1)
     return hits.withColumn("n", F.size(F.collect_set("term").over(near))).filter(F.col("n") == terms).groupBy("doc", "item").agg(F.min("pos").alias("doc_pos"))
 
@@ -123,17 +144,23 @@ def proximity_matches(index: DataFrame, tokens: DataFrame, terms: int, span: int
 def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 12, block_chars: int = BLOCK_CHARS, near: tuple[int, int] | None = None) -> DataFrame:
     """All places where a document shares a run of at least ``run`` consecutive words with an item, as ``phrase_matches`` tells them.
 
-    With ``near`` = (terms, span) the proximity matches instead. Null and empty texts and items of fewer than ``run`` words have
-    none; equal documents and equal items are all told. The postings are written to the checkpoint folder.
+    With ``near`` = (terms, span) the proximity matches instead, whatever ``run``. Null and empty texts and items of fewer than ``run``
+    words, or ``terms`` distinct ones, have none; equal documents and equal items are all told. The postings are written to the
+    checkpoint folder.
     """
     spark: SparkSession = docs.sparkSession
     kind = dict(items.dtypes)[item]
     out = None
     for block in item_blocks(items, item, item_text, block_chars):
-        held = [(i, w) for i, w in _tokens(block, item, item_text) if len(w) >= run]
+        held = [(i, w) for i, w in _tokens(block, item, item_text) if near or len(w) >= run]
         vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in held for w in ws}))}
         tokens = spark.createDataFrame([(i, p, vocabulary[w]) for i, ws in held for p, w in enumerate(ws)], f"item {kind}, ipos int, term int")
-        index = cut(build_index(docs, doc, text, vocabulary, run))
-        found = phrase_matches(index, tokens, run) if near is None else proximity_matches(index, tokens, *near)
+        if near is None:
+            found = phrase_matches(cut(build_index(docs, doc, text, vocabulary, run)), tokens, run)
+        else:
+            rare = cut(rarest_terms(term_counts(docs, text, vocabulary), tokens, near[0]))
+            wanted = {r[0] for r in rare.select("term").distinct().collect()}  # no more than the block's vocabulary
+            index = cut(build_index(docs, doc, text, {w: k for w, k in vocabulary.items() if k in wanted}, 1))
+            found = proximity_matches(index, rare, *near)
         out = found if out is None else out.unionByName(found)
     return out

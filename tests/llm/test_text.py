@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -52,6 +53,29 @@ def test_near_matches(spark):
     assert [(r["doc"], r["item"]) for r in leaks(d, "doc", "text", e, "item", "text", run=3, near=(4, 6)).collect()] == [(1, 7)]
 
 
+@pytest.mark.parametrize("block", [10**6, 60])
+def test_near_equals_brute_force(spark, block):
+    rnd = random.Random(6)
+    weights = [2**k for k in range(12)]
+    text = lambda n, other: " ".join(rnd.choices([*[f"w{i}" for i in range(12)], "zz"], [*weights, other])[0] for _ in range(n))
+    items = [(i, text(rnd.randrange(3, 14), 0)) for i in range(12)] + [(20, None), (21, ""), (22, "w1 w1 w1 w1 w1"), (23, "w9 w10 w11")]
+    docs = [(d, text(rnd.randrange(1, 60), 1500)) for d in range(80)] + [(100, None), (101, ""), (102, "w9 zz zz w10 zz zz w11")]
+    df = Counter(w for _, t in docs for w in words(t))
+    want = {}
+    for i, e in items:
+        rare = sorted((df[w], w) for w in set(words(e)) if df[w])[:3]
+        if len(rare) == 3:
+            need = {w for _, w in rare}
+            for d, t in docs:
+                first = next((p for p, w in enumerate(words(t)) if w in need and need <= set(words(t)[p : p + 9])), None)
+                if first is not None:
+                    want[d, i] = first
+    d = spark.createDataFrame(docs, "doc bigint, text string")
+    e = spark.createDataFrame(items, "item int, text string")
+    got = leaks(d, "doc", "text", e, "item", "text", run=5, block_chars=block, near=(3, 9)).collect()
+    assert (102, 23) in want and {(r["doc"], r["item"]): r["doc_pos"] for r in got} == want
+
+
 def naive_sum_of_squares(sizes, capacity):
     gaps = []
     out = []
