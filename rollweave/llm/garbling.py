@@ -4,14 +4,17 @@ The units are the words of the corpus that hold a character outside ASCII, and t
 distinct unit is garbled under every chain of wrong decoding (``garbled_forms``); the forms are hash-joined with the distinct units
 of the corpus, which gives the dictionary of garbled units and their originals (``garbled_units``); the units of the documents are
 hash-joined with that dictionary. A form counts only if it is told apart from clean text: its original must be at least as common.
+Where both are equally common, the form must look odder than the original (``oddness``) or stand in a text with another unit garbled
+by the same chain beyond doubt.
 
-All counts are per distinct unit and document, so a document repeated a million times weighs on no single task: units are first
-collapsed within each batch of documents, then before the shuffle.
+All counts are per distinct unit and distinct text (by a hash of it), so copies of a text count once, and a document repeated a million
+times weighs on no single task: units are first collapsed within each batch of documents, then before the shuffle.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -106,20 +109,37 @@ def garbled_forms(word: str) -> dict[str, tuple[str, int]]:
     return out
 
 
+def oddness(unit: str) -> int:
+    """How unlike a word of any language a unit looks: signs outside ASCII, capitals after small letters, changes of script, runs of accented Latin letters."""
+    odd, script, before = 0, "", ""
+    for c in unit:
+        if not c.isalpha():
+            odd += c > "\x7f"
+        else:
+            now = "LATIN" if c < "\x80" else unicodedata.name(c, "?").partition(" ")[0]
+            odd += script not in ("", now)
+            odd += c.isupper() and before.islower()
+            odd += now == "LATIN" and c > "\x7f" and before > "\x7f"
+            script = now
+        before = c
+    return odd
+
+
 def document_units(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """``doc``, ``unit`` for each distinct unit of each text; ASCII, empty and null texts have none."""
+    """``doc``, ``unit`` and ``body``, a hash of the text, for each distinct unit of each text; ASCII, empty and null texts have none."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, found, bodies = [], [], []
+            for k, t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if t and not t.isascii():
                     u = units(t)
                     ids += [k] * len(u)
                     found += u
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.string())], ["doc", "unit"])
+                    bodies += [h] * len(u)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.string()), pa.array(bodies, pa.int64())], ["doc", "unit", "body"])
 
-    return docs.select(doc, text).mapInArrow(scan, f"doc {dict(docs.dtypes)[doc]}, unit string")
+    return docs.select(doc, text, F.xxhash64(text)).mapInArrow(scan, f"doc {dict(docs.dtypes)[doc]}, unit string, body bigint")
 
 
 def garbled_units(doc_units: DataFrame) -> DataFrame:
@@ -129,7 +149,8 @@ def garbled_units(doc_units: DataFrame) -> DataFrame:
     UTF-8 first. Lost characters are restored only where one original alone fits.
     """
     spark = doc_units.sparkSession
-    known = cut(doc_units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")))
+    held = doc_units.select("unit", "body").distinct()
+    known = cut(held.groupBy("unit").agg(F.count(F.lit(1)).alias("n")))
     signs = spark.createDataFrame([(s,) for s in SIGNS], "unit string").join(known, "unit", "left_anti").withColumn("n", F.lit(1).cast("bigint"))
     letters = known.select(F.explode(F.split("unit", "")).alias("c")).distinct()
     # characters of the whole corpus: at most the 1.1 million of Unicode
@@ -153,7 +174,16 @@ def garbled_units(doc_units: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(originals, pa.string()), pa.array(chains, pa.string()), pa.array(kinds, pa.int32()), pa.array(ns, pa.int64())], ["unit", "original", "chain", "kind", "m"])
 
     forms = known.unionByName(signs).mapInArrow(garble, "unit string, original string, chain string, kind int, m bigint")
-    hit = cut(forms.join(known, "unit").filter((F.col("kind") == 2) | ((F.col("kind") == 1) & (F.col("m") > F.col("n"))) | (F.col("kind") == 0)))
+    hit = cut(forms.join(known, "unit").filter((F.col("kind") != 1) | (F.col("m") >= F.col("n"))))
+    tie = (F.col("kind") == 1) & (F.col("m") == F.col("n"))
+    odd = F.pandas_udf(lambda s: s.map(oddness).astype("int32"), "int")
+    tied = hit.filter(tie)
+    # chains that a text has gone through beyond doubt
+    sure = hit.filter((F.col("kind") == 1) & ~tie).select("unit", "chain").distinct()
+    gone = held.join(sure, "unit").select("body", "chain").distinct()
+    backed = held.join(tied.select("unit", "chain"), "unit").join(gone, ["body", "chain"], "left_semi").select("unit", "chain").distinct()
+    told_ties = cut(tied.filter(odd("unit") > odd("original")).unionByName(tied.join(backed, ["unit", "chain"], "left_semi")).distinct())
+    hit = hit.filter(~tie).unionByName(told_ties.select(*hit.columns))
     # an original that is a garbled unit itself is the last resort
     dirty = hit.filter("kind > 0").select(F.col("unit").alias("original"), F.lit(False).alias("clean")).distinct()
     hit = hit.join(dirty, "original", "left").withColumn("clean", F.coalesce("clean", F.lit(True)))
@@ -166,7 +196,7 @@ def garbled_units(doc_units: DataFrame) -> DataFrame:
 def affected_units(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """``doc``, ``unit``, ``original``, ``chain``, ``kind`` of every garbled unit of every document."""
     found = cut(document_units(docs, doc, text))
-    return found.join(garbled_units(found), "unit")
+    return found.join(garbled_units(found), "unit").drop("body")
 
 
 def _unread(stretch: str, chain: str) -> str | None:

@@ -178,6 +178,22 @@ def test_affected_documents(spark):
     assert affected_units(df.limit(0), "id", "text").count() == 0
 
 
+def test_copies_of_a_garbled_text_count_once(spark):
+    clean = ["Навыки и опыт работы", "Навыки управления", "Größe zählt"]
+    dirty = "Навыки".encode("cp1251").decode("cp1252")
+    rows = [(i, t) for i, t in enumerate(clean)] + [(100 + i, dirty) for i in range(9)]
+    got = affected_units(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect()
+    assert {(r["doc"], r["unit"], r["original"]) for r in got} == {(100 + i, dirty, "Навыки") for i in range(9)}
+
+
+def test_an_original_as_common_as_its_garbled_form(spark):
+    for written, read in [("cp1251", "cp1252"), ("cp1251", "koi8-r"), ("cp1252", "mac_roman")]:
+        word = "Навыки" if written == "cp1251" else "Größe"
+        dirty = word.encode(written).decode(read)
+        df = spark.createDataFrame([(1, word), (2, dirty)], "id bigint, text string")
+        assert [(r["doc"], r["original"]) for r in affected_units(df, "id", "text").collect()] == [(2, word)]
+
+
 def test_restore(spark):
     assert restore("Die GrÃ¶ÃŸe, CafÃ© Ã\x9cber", {"GrÃ¶ÃŸe": "Größe", "Ã©": "é"}, ["utf-8>cp1252"]) == ("Die Größe, Café Über", 3, 0)
     assert restore(f"x{LOST}y plain", {f"x{LOST}y": None, LOST: None}, []) == (f"x{LOST}y plain", 0, 1)
