@@ -3,7 +3,7 @@
 * Rows are reduced to profiles (distinct combinations of what they say), so copies of a row cost nothing.
 * Candidate edges join profiles that share a phone line, a mailbox, or a segment of the surname together with the given name's
   initial and the firm's first letters. An attribute weighs the more, the rarer it is. A line or mailbox that very many profiles share
-  is split by surname segments, and a surname that very many share in one firm by segments of the given name, so no block is compared
+  is split by its distinct surnames (profiles without one meet all others), and a surname that very many share in one firm by segments of the given name, so no block is compared
   pair by pair.
 * Meta-blocking prunes edges whose shared attributes and likeness of names weigh too little.
 * The remaining graph is refined: profiles with only an initial, or without a name, take the name of their best neighbour; edges
@@ -20,7 +20,7 @@ from rollweave.llm import names as N
 from rollweave.functions.segments import index_keys, probe_keys
 from rollweave.session import cut
 
-#: Comparisons in a block of a phone line or mailbox above which it is split by surname segments.
+#: Comparisons in a block above which its names are compared first; the pairs that can be kept are the same.
 HOT_BLOCK = 2_000
 #: Edits between two surnames that the segment join finds.
 EDITS = 2
@@ -141,15 +141,31 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _may_be_one(a: str, b: str) -> bool:
+    """Whether ``likeness`` can take two surnames for one: all that ``surname_likeness`` and its ``loose`` rules accept."""
+    return N.surname_likeness(a, b) > 0 or a[0] == b[0] and min(len(a), len(b)) > 5 and N.edits(a, b, 3) <= 3
+
+
 def _split_hot(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Keys of the nodes in oversized blocks, refined by surname segments. Nodes without a surname have none."""
+    """Pairs ``kind``, ``x``, ``x_side``, ``y``, ``y_side``, ``n`` of the oversized blocks that scoring can keep, some in both orders.
 
-    @F.pandas_udf("array<struct<key:string,role:int>>")
-    def refine(key: pd.Series, surname: pd.Series) -> pd.Series:
-        return pd.Series([[] if s is None else [{"key": f"{k}|{x}", "role": 0} for x in index_keys(s, EDITS)] + [{"key": f"{k}|{x}", "role": 1} for x in probe_keys(s, EDITS)] for k, s in zip(key, surname, strict=True)])
+    Nodes with a surname meet those whose surname may be the same, told once for each pair of distinct surnames of the block; nodes
+    without one meet every node of the block.
+    """
 
-    hot = keyed.join(sizes.filter("hot"), ["kind", "key"], "left_semi")
-    return hot.withColumn("r", F.explode(refine("key", "surname"))).select("kind", "r.key", "r.role", "node", "side", "surname")
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_may_be_one(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+    hot = cut(keyed.join(sizes.filter("hot").select("kind", "key", "n"), ["kind", "key"]))
+    named, unnamed = hot.filter("surname IS NOT NULL"), hot.filter("surname IS NULL")
+    distinct = named.select("kind", "key", F.substring("surname", 1, 1).alias("head"), "surname").distinct()
+    alike = distinct.withColumnRenamed("surname", "xs").join(distinct.withColumnRenamed("surname", "ys"), ["kind", "key", "head"]).filter(may("xs", "ys")).drop("head")
+    end = lambda df, e: df.select("kind", "key", F.col("node").alias(e), F.col("side").alias(f"{e}_side"), F.col("surname").alias(f"{e}s"), *(["n"] if e == "x" else []))
+    pairs = end(named, "x").join(alike, ["kind", "key", "xs"]).join(end(named, "y"), ["kind", "key", "ys"])
+    star = end(unnamed, "x").join(end(hot, "y"), ["kind", "key"])
+    columns = ("kind", "x", "x_side", "y", "y_side", "n")
+    return pairs.select(*columns).unionByName(star.select(*columns))
 
 
 def candidate_edges(nodes: DataFrame, across: bool) -> DataFrame:
@@ -169,19 +185,21 @@ def candidate_edges(nodes: DataFrame, across: bool) -> DataFrame:
     def ends(df: DataFrame, name: str) -> DataFrame:
         return df.select("kind", "key", F.col("node").alias(name), F.col("side").alias(f"{name}_side"))
 
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        pair = ends(left, "x").join(ends(right, "y"), ["kind", "key"])
+    def ordered(pair: DataFrame, *more: Column) -> DataFrame:
         if across:
             pair = pair.filter(F.col("x_side") != F.col("y_side"))
-            return pair.select("kind", F.when(F.col("x_side") == 0, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(F.col("x_side") == 0, F.col("y")).otherwise(F.col("x")).alias("v"))
-        return pair.filter(F.col("x") != F.col("y")).select("kind", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+            return pair.select("kind", F.when(F.col("x_side") == 0, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(F.col("x_side") == 0, F.col("y")).otherwise(F.col("x")).alias("v"), *more)
+        return pair.filter(F.col("x") != F.col("y")).select("kind", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), *more)
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        return ordered(ends(left, "x").join(ends(right, "y"), ["kind", "key"]))
 
     weight = F.log(F.lit(float(max(2, total))) / F.col("n"))
     if across:
         whole = rare.filter("side = 0").select("kind", "key", F.col("node").alias("u"), weight.alias("w")).join(rare.filter("side = 1").select("kind", "key", F.col("node").alias("v")), ["kind", "key"]).select("kind", "u", "v", "w")
     else:
         whole = rare.select("kind", "key", F.col("node").alias("u"), weight.alias("w")).join(rare.select("kind", "key", F.col("node").alias("v")), ["kind", "key"]).filter("u < v").select("kind", "u", "v", "w")
-    more = joined(fine.filter("role = 0"), fine.filter("role = 1")).withColumn("w", F.lit(1.0))
+    more = ordered(fine, weight.alias("w"))
     member = classes.select(F.lit("name").alias("kind"), F.col("cls").alias("key"), "node", "side", "given", "short")
     large = member.groupBy("key").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("n0"), F.count(F.lit(1)).alias("n")).filter(compared > HOT_BLOCK).select("key")
     small = member.join(large, "key", "left_anti")

@@ -131,6 +131,20 @@ def test_large_classes_are_split_by_given_names(spark, monkeypatch):
         assert want <= {(r["u"], r["v"]) for r in linked(table.select("node", "side", "p"), across=True).collect()}
 
 
+@pytest.mark.parametrize("across", [True, False])
+def test_hot_line_links_as_a_small_one(spark, monkeypatch, across):
+    from rollweave.llm import linkage
+
+    rows = [(k % 2, k, f"{g} {s}", None, "411 555 0101", None) for k, (g, s) in enumerate((g, s) for g in ("Ann", "Bob", "Zoe") for s in ("Kalovric", "Kalovrci", "Tarenzo", "Malgrin", "Brundenolt", "Bruedenlot"))]
+    rows += [(0, 50, None, "ann.kalovric@a.example", "411 555 0101", None), (1, 51, None, None, "411 555 0101", "Krydo Marine"), (0, 52, "Ann Doranvelik", None, "411 555 0101", None), (1, 53, "Ann Dranvleika", None, "411 555 0101", None)]
+    nodes = profiles(people(spark, rows)).select("node", "side", "p")
+    got = []
+    for most in (10**9, 4):
+        monkeypatch.setattr(linkage, "HOT_BLOCK", most)
+        got.append({(r["u"], r["v"]): round(r["confidence"], 9) for r in linked(nodes, across).collect()})
+    assert got[0] and got[1] == got[0]
+
+
 def test_spellings(spark):
     groups = person_groups(people(spark, PEOPLE))
     got = {tuple(r) for r in pairs_within(groups, "component", "spelling").collect()}
