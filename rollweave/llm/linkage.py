@@ -3,8 +3,8 @@
 * Rows are reduced to profiles (distinct combinations of what they say), so copies of a row cost nothing.
 * Candidate edges join profiles that share a phone line, a mailbox, or a segment of the surname together with the given name's
   initial and the firm's first letters. An attribute weighs the more, the rarer it is. A line or mailbox that very many profiles share
-  is split by its distinct surnames (profiles without one meet all others), and a surname that very many share in one firm by segments of the given name, so no block is compared
-  pair by pair.
+  is split by its distinct surnames (profiles without one meet all others), and a surname that very many share in one firm by its distinct given names, so only profiles whose names
+  fit are compared there.
 * Meta-blocking prunes edges whose shared attributes and likeness of names weigh too little.
 * The remaining graph is refined: profiles with only an initial, or without a name, take the name of their best neighbour; edges
   are scored again, until no profile changes its name. An edge survives if its two profiles then bear one name.
@@ -107,19 +107,21 @@ def name_classes(nodes: DataFrame) -> DataFrame:
 
 
 def _split_names(members: DataFrame) -> DataFrame:
-    """Members of oversized classes by segments of their given names. A bare initial says nothing among so many people and has no key."""
+    """Pairs ``kind``, ``x``, ``x_side``, ``y``, ``y_side`` of oversized classes whose given names scoring accepts, initials and slips too; in both orders.
 
-    @F.pandas_udf("array<struct<key:string,role:int>>")
-    def refine(key: pd.Series, given: pd.Series, short: pd.Series) -> pd.Series:
-        out = []
-        for k, g, s in zip(key, given, short, strict=True):
-            full = {x for x in (g, s, *N.full_names(g or ""), *N.full_names(s or "")) if x and len(x) > 1}
-            begin = {f"^{n[:3]}" for n in full}  # short forms are beginnings
-            keys = [(x, role) for role, make in ((0, index_keys), (1, probe_keys)) for x in sorted(begin.union(*(make(n, 1) for n in full)))]
-            out.append([{"key": f"{k}|{x}", "role": role} for x, role in keys])
-        return pd.Series(out)
+    The names are compared once for each pair of distinct ones of the class.
+    """
+
+    @F.pandas_udf("boolean")
+    def fit(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([any(N.given_likeness(x, y) > 0 for x in (g, s) for y in (h, t) if x and y) for g, s, h, t in zip(a, b, c, d, strict=True)], dtype="bool")
 
-    return members.withColumn("r", F.explode(refine("key", "given", "short"))).select("kind", "r.key", "r.role", "node", "side")
+    named = cut(members.withColumn("short", F.coalesce("short", F.lit(""))))
+    distinct = named.select("key", "given", "short").distinct()
+    to = lambda df, e: df.withColumnRenamed("given", f"{e}g").withColumnRenamed("short", f"{e}h")
+    alike = to(distinct, "x").join(to(distinct, "y"), "key").filter(fit("xg", "xh", "yg", "yh"))
+    end = lambda e: to(named, e).withColumnRenamed("node", e).withColumnRenamed("side", f"{e}_side")
+    return end("x").join(alike, ["key", "xg", "xh"]).join(end("y").drop("kind"), ["key", "yg", "yh"]).select("kind", "x", "x_side", "y", "y_side")
 
 
 def similar_classes(classes: DataFrame) -> DataFrame:
@@ -206,7 +208,7 @@ def candidate_edges(nodes: DataFrame, across: bool) -> DataFrame:
     apart = _split_names(member.join(large, "key", "left_semi"))
     close = similar_classes(classes)
     moved = lambda x, y: member.join(close.select(F.col(x).alias("key"), F.col(y).alias("to")), "key").select("kind", F.col("to").alias("key"), "node", "side")
-    named = joined(small, small).unionByName(joined(apart.filter("role = 0"), apart.filter("role = 1"))).unionByName(joined(moved("a", "b"), member)).withColumn("w", F.lit(1.0))
+    named = joined(small, small).unionByName(ordered(apart)).unionByName(joined(moved("a", "b"), member)).withColumn("w", F.lit(1.0))
     more = more.unionByName(named)
     both = whole.unionByName(more)
     return both.groupBy("u", "v").agg(*[F.max(F.when(F.col("kind") == k, F.col("w"))).alias(f"{k}_w") for k in ("phone", "mail", "name")])

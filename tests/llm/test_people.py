@@ -145,6 +145,20 @@ def test_hot_line_links_as_a_small_one(spark, monkeypatch, across):
     assert got[0] and got[1] == got[0]
 
 
+@pytest.mark.parametrize("across", [True, False])
+def test_large_classes_link_as_small_ones(spark, monkeypatch, across):
+    from rollweave.llm import linkage
+
+    givens = ["Alexander", "Al", "A", "Alexandra", "Alxeandre", "Andrew", "Drew", "Anna", "Ana", "Agnieszka", "Aga"]
+    rows = [(side, 100 * side + k, f"{g} Kalovric", f"box{side}{k}@a.example", None, "Krydo Marine") for side in (0, 1) for k, g in enumerate(givens)]
+    nodes = profiles(people(spark, rows)).select("node", "side", "p")
+    got = []
+    for most in (10**9, 4):
+        monkeypatch.setattr(linkage, "HOT_BLOCK", most)
+        got.append({(r["u"], r["v"]): round(r["confidence"], 9) for r in linked(nodes, across).collect()})
+    assert got[0] and got[1] == got[0]
+
+
 def test_spellings(spark):
     groups = person_groups(people(spark, PEOPLE))
     got = {tuple(r) for r in pairs_within(groups, "component", "spelling").collect()}
