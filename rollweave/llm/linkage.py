@@ -1,29 +1,34 @@
 """Matching people across sources without keys: collective graph linkage.
 
 * Rows are reduced to profiles (distinct combinations of what they say), so copies of a row cost nothing.
-* Candidate edges join profiles that share a phone line, a mailbox, or a segment of the surname together with the given name's
-  initial and the firm's first letters. An attribute weighs the more, the rarer it is. A line or mailbox that very many profiles share
-  is split by its distinct surnames (profiles without one meet all others), and a surname that very many share in one firm by its distinct given names, so only profiles whose names
-  fit are compared there.
+* Candidate edges join profiles of one block: a phone line, a mailbox, or the firm's first letters with the given name's initial. Within
+  a block a pigeonhole segment join over its distinct surnames finds those that may be one, however many profiles the block
+  holds; distinct names are compared once per block. An attribute weighs the more, the rarer it is.
 * Meta-blocking prunes edges whose shared attributes and likeness of names weigh too little.
-* The remaining graph is refined: profiles with only an initial, or without a name, take the name of their best neighbour; edges
-  are scored again, until no profile changes its name. An edge survives if its two profiles then bear one name.
+* The remaining graph is refined until it is stable: profiles with only an initial, or without a name, take the name that their
+  neighbours support most, hop by hop; edges that are too weak of themselves count once a neighbour over another edge bears the very name of the
+  other end; edges of vague profiles are scored again by the names told. An edge survives if its two profiles then bear one name.
+
+All thresholds are shares or likenesses; none is a count that the same rows would pass in a small table and fail in a large one.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollweave.llm import names as N
-from rollweave.functions.segments import index_keys, probe_keys
+from rollweave.functions.segments import index_hashes, probe_hashes
 from rollweave.session import cut
 
-#: Comparisons in a block above which its names are compared first; the pairs that can be kept are the same.
-HOT_BLOCK = 2_000
-#: Edits between two surnames that the segment join finds.
-EDITS = 2
+#: Edits between two surnames that the segment join finds on a line or mailbox, and where a firm alone is shared. A swap of neighbours
+#: counts as two here and as one when names are scored, so these are one above what scoring accepts.
+LINE_EDITS, FIRM_EDITS = 4, 3
+#: How often a surname that is a slip of another may come again, as a share of how often the other does.
+SLIP_SHARE = 0.1
 #: Share of all mailboxes that a host must have to be cut off an address without ``@``; there are at most 200 such hosts.
 COMMON_HOST = 0.005
 #: Share of all names that a word must open to count as a common given name; there are at most 500 such words.
@@ -89,255 +94,235 @@ def _initials(given: str, short: str | None) -> set[str]:
     return {g[0] for g in full if g}
 
 
-def block_keys(nodes: DataFrame) -> DataFrame:
-    """``node``, ``side``, ``surname``, ``kind``, ``key`` of the phone lines and mailboxes of the nodes."""
-    both = F.array(F.struct(F.lit("phone").alias("kind"), F.col("p.phone").alias("key")), F.struct(F.lit("mail").alias("kind"), F.col("p.local").alias("key")))
-    return nodes.select("node", "side", F.col("p.surname").alias("surname"), F.explode(both).alias("k")).select("node", "side", "surname", "k.*").filter(F.col("key").isNotNull())
-
-
-def name_classes(nodes: DataFrame) -> DataFrame:
-    """``node``, ``side``, ``cls`` and ``surname``: firm letters, initial and surname; a node with several initials is in several classes."""
-
-    @F.pandas_udf("array<string>")
-    def codes(p: pd.DataFrame) -> pd.Series:
-        return pd.Series([sorted(f"{c}/{i}" for c in _firm_codes(firm, acronym) for i in _initials(given, short)) if surname else [] for given, surname, short, _, _, _, firm, acronym in p[list(ATTRIBUTES)].itertuples(index=False)])
-
-    classed = nodes.select("node", "side", F.col("p.surname").alias("surname"), F.col("p.given").alias("given"), F.col("p.short").alias("short"), F.explode(codes("p")).alias("code"))
-    return classed.withColumn("cls", F.concat_ws("/", "code", "surname"))
-
-
-def _split_names(members: DataFrame) -> DataFrame:
-    """Pairs ``kind``, ``x``, ``x_side``, ``y``, ``y_side`` of oversized classes whose given names scoring accepts, initials and slips too; in both orders.
+def blocks(nodes: DataFrame) -> DataFrame:
+    """``kind``, ``block``, ``node``, ``side`` and the name of each node in each of its blocks.
 
-    The names are compared once for each pair of distinct ones of the class.
+    A block is a phone line, a mailbox, or firm letters with an initial (a node with several initials is in several); those of the
+    last kind hold named nodes only. ``face`` numbers the name in the block, ``line`` the surname in it; both are null without a name.
     """
 
-    @F.pandas_udf("boolean")
-    def fit(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([any(N.given_likeness(x, y) > 0 for x in (g, s) for y in (h, t) if x and y) for g, s, h, t in zip(a, b, c, d, strict=True)], dtype="bool")
-
-    named = cut(members.withColumn("short", F.coalesce("short", F.lit(""))))
-    distinct = named.select("key", "given", "short").distinct()
-    to = lambda df, e: df.withColumnRenamed("given", f"{e}g").withColumnRenamed("short", f"{e}h")
-    alike = to(distinct, "x").join(to(distinct, "y"), "key").filter(fit("xg", "xh", "yg", "yh"))
-    end = lambda e: to(named, e).withColumnRenamed("node", e).withColumnRenamed("side", f"{e}_side")
-    return end("x").join(alike, ["key", "xg", "xh"]).join(end("y").drop("kind"), ["key", "yg", "yh"]).select("kind", "x", "x_side", "y", "y_side")
-
-
-def similar_classes(classes: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of different classes of equal code whose surnames are within ``EDITS`` edits, each pair once: the segment join."""
-    distinct = cut(classes.select("cls", "code", "surname").distinct())
-
-    def keys(of: str) -> Column:
-        make = index_keys if of == "index" else probe_keys
-
-        @F.pandas_udf("array<string>")
-        def run(surname: pd.Series) -> pd.Series:
-            return pd.Series([sorted(make(s, EDITS)) for s in surname])
-
-        return F.explode(run("surname"))
-
-    index = distinct.withColumn("k", keys("index")).select(F.xxhash64("code", "k").alias("k"), F.col("cls").alias("a"), F.col("surname").alias("sa"))
-    probe = distinct.withColumn("k", keys("probe")).select(F.xxhash64("code", "k").alias("k"), F.col("cls").alias("b"), F.col("surname").alias("sb"))
-    near = index.join(probe, "k").filter((F.col("a") != F.col("b")) & (F.substring("sa", 1, 1) == F.substring("sb", 1, 1)) & (F.levenshtein("sa", "sb", EDITS + 1) >= 0))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
+    @F.pandas_udf("array<string>")
+    def codes(given: pd.Series, short: pd.Series, firm: pd.Series, acronym: pd.Series) -> pd.Series:
+        return pd.Series([sorted(f"{c}/{i}" for c in _firm_codes(None if f is None else f.split(" "), a) for i in _initials(g, s)) if g else [] for g, s, f, a in zip(given, short, firm, acronym, strict=True)])
 
-def _may_be_one(a: str, b: str) -> bool:
-    """Whether ``likeness`` can take two surnames for one: all that ``surname_likeness`` and its ``loose`` rules accept."""
-    return N.surname_likeness(a, b) > 0 or a[0] == b[0] and min(len(a), len(b)) > 5 and N.edits(a, b, 3) <= 3
+    named = nodes.filter("surname IS NOT NULL AND (firm IS NOT NULL OR acronym IS NOT NULL)")
+    by_firm = named.select("node", F.explode(codes("given", "short", "firm", "acronym")).alias("key"))
+    name = ("side", "given", "surname", "short")
+    held = nodes.select("node", *name, F.explode(F.array(F.struct(F.lit("phone").alias("kind"), F.col("phone").alias("key")), F.struct(F.lit("mail").alias("kind"), F.col("local").alias("key")))).alias("k")).filter("k.key IS NOT NULL").select("k.kind", "k.key", "node", *name)
+    both = held.unionByName(by_firm.join(nodes.select("node", *name), "node").select(F.lit("name").alias("kind"), "key", "node", *name))
+    keyed = both.withColumn("block", F.xxhash64("kind", "key"))
+    able = F.col("surname").isNotNull()
+    return keyed.select("kind", "block", "node", *name, F.when(able, F.xxhash64("block", "surname")).alias("line"), F.when(able, F.xxhash64("block", "surname", "given", F.coalesce("short", F.lit("")))).alias("face"))
 
 
-def _split_hot(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs ``kind``, ``x``, ``x_side``, ``y``, ``y_side``, ``n`` of the oversized blocks that scoring can keep, some in both orders.
+def alike_surnames(faces: DataFrame, kinds: list[str], k: int) -> DataFrame:
+    """Pairs ``x``, ``y`` of different surnames of one block (``line`` numbers) within ``k`` edits and of one first letter, each pair once.
 
-    Nodes with a surname meet those whose surname may be the same, told once for each pair of distinct surnames of the block; nodes
-    without one meet every node of the block.
+    This is the pigeonhole segment join: the ``k + 1`` segments of a surname are looked up, in an inverted index over (block, segment),
+    among the shifted substrings of the longer ones, and what meets is verified by a banded edit distance. Only numbers are shuffled.
     """
-
-    @F.pandas_udf("boolean")
-    def may(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_may_be_one(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
-
-    hot = cut(keyed.join(sizes.filter("hot").select("kind", "key", "n"), ["kind", "key"]))
-    named, unnamed = hot.filter("surname IS NOT NULL"), hot.filter("surname IS NULL")
-    distinct = named.select("kind", "key", F.substring("surname", 1, 1).alias("head"), "surname").distinct()
-    alike = distinct.withColumnRenamed("surname", "xs").join(distinct.withColumnRenamed("surname", "ys"), ["kind", "key", "head"]).filter(may("xs", "ys")).drop("head")
-    end = lambda df, e: df.select("kind", "key", F.col("node").alias(e), F.col("side").alias(f"{e}_side"), F.col("surname").alias(f"{e}s"), *(["n"] if e == "x" else []))
-    pairs = end(named, "x").join(alike, ["kind", "key", "xs"]).join(end(named, "y"), ["kind", "key", "ys"])
-    star = end(unnamed, "x").join(end(hot, "y"), ["kind", "key"])
-    columns = ("kind", "x", "x_side", "y", "y_side", "n")
-    return pairs.select(*columns).unionByName(star.select(*columns))
+    of = faces.filter(F.col("kind").isin(*kinds)).select("block", "line", "surname").distinct()
+    # a block with one surname has no pairs
+    crowd = of.groupBy("block", F.substring("surname", 1, 1).alias("head")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("block", "head")
+    of = cut(of.withColumn("head", F.substring("surname", 1, 1)).join(crowd, ["block", "head"], "left_semi"))
+    within = F.xxhash64("block", "head")
+    index = of.select("line", F.explode(index_hashes(F.col("surname"), k, within)).alias("seg")).select("seg", F.col("line").alias("x"))
+    probe = of.select("line", F.explode(probe_hashes(F.col("surname"), k, within)).alias("seg")).select("seg", F.col("line").alias("y"))
+    met = index.join(probe, "seg").filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    text = lambda e: of.select(F.col("line").alias(e), F.col("surname").alias(f"s{e}"))
+    return met.join(text("x"), "x").join(text("y"), "y").filter(F.levenshtein("sx", "sy", k) >= 0).select("x", "y")
 
 
 def candidate_edges(nodes: DataFrame, across: bool) -> DataFrame:
-    """``u``, ``v`` and the rarity weights ``phone_w``, ``mail_w``, ``name_w`` (null where nothing of the kind is shared).
+    """``u``, ``v``, the rarity weights ``phone_w`` and ``mail_w`` (null where nothing of the kind is shared), ``name_l`` (null if a name is missing) and ``loose``.
 
-    With ``across``, ``u`` is of side 0 and ``v`` of side 1; otherwise ``u`` < ``v`` of any side. ``nodes`` has ``node``, ``side``, ``p``.
+    With ``across``, ``u`` is of side 0 and ``v`` of side 1; otherwise ``u`` < ``v`` of any side. Names are compared once for each two
+    distinct ones of a block that the segment join brings together, then spread to the nodes that bear them. Nodes without a name
+    meet all others of their lines and mailboxes.
     """
-    shared = cut(block_keys(nodes))
-    sizes = shared.groupBy("kind", "key").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("n0"), F.count(F.lit(1)).alias("n"))
-    compared = F.col("n0") * (F.col("n") - F.col("n0")) if across else F.col("n") * (F.col("n") - 1) / 2
-    sizes = sizes.withColumn("hot", compared > HOT_BLOCK).filter(compared > 0)
-    rare = shared.join(sizes.filter(~F.col("hot")).select("kind", "key", "n"), ["kind", "key"])
-    fine = _split_hot(shared, sizes)
-    classes = cut(name_classes(nodes))
     total = nodes.count()
-
-    def ends(df: DataFrame, name: str) -> DataFrame:
-        return df.select("kind", "key", F.col("node").alias(name), F.col("side").alias(f"{name}_side"))
-
-    def ordered(pair: DataFrame, *more: Column) -> DataFrame:
-        if across:
-            pair = pair.filter(F.col("x_side") != F.col("y_side"))
-            return pair.select("kind", F.when(F.col("x_side") == 0, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(F.col("x_side") == 0, F.col("y")).otherwise(F.col("x")).alias("v"), *more)
-        return pair.filter(F.col("x") != F.col("y")).select("kind", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), *more)
-
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        return ordered(ends(left, "x").join(ends(right, "y"), ["kind", "key"]))
-
-    weight = F.log(F.lit(float(max(2, total))) / F.col("n"))
+    keyed = blocks(nodes)
+    size = keyed.groupBy("kind", "block").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("n0"), F.count(F.lit(1)).alias("n"))
+    size = size.filter((F.col("n0") > 0) & (F.col("n0") < F.col("n")) if across else F.col("n") > 1)
+    held = cut(keyed.join(size.select("kind", "block", "n"), ["kind", "block"]))
+    named = held.filter("face IS NOT NULL")
+    bear = (F.max(F.col("side") == 0).alias("on0"), F.max(F.col("side") == 1).alias("on1"), F.count(F.lit(1)).alias("m"))
+    faces = cut(named.groupBy("kind", "block", "n", "line", "face", "surname", "given", "short").agg(*bear))
+    apart = alike_surnames(faces, ["phone", "mail"], LINE_EDITS).unionByName(alike_surnames(faces, ["name"], FIRM_EDITS))
+
+    def side(e: str) -> DataFrame:
+        return faces.select(F.col("line").alias(e), F.col("face").alias(f"f{e}"), *[F.col(c).alias(f"{c}_{e}") for c in ("given", "surname", "short", "on0", "on1", "m")], *(["kind", "n"] if e == "x" else []))
+
+    same = side("x").join(side("y").withColumnRenamed("y", "x"), "x").filter("fx < fy OR fx = fy AND m_x > 1").drop("x")
+    meet = same.unionByName(side("x").join(apart, "x").join(side("y"), "y").drop("x", "y"))
+    if across:
+        meet = meet.filter("on0_x AND on1_y OR on1_x AND on0_y")
+    alike = name_scores(meet).filter("name_l > 0 OR loose > 0 AND kind <> 'name'").select("kind", "n", "fx", "fy", "name_l", "loose")
+    ends = lambda e, s: named.filter(F.lit(True) if s is None else F.col("side") == s).select(F.col("face").alias(f"f{e}"), F.col("node").alias(e))
+    what = ("kind", "n", "name_l", "loose")
     if across:
-        whole = rare.filter("side = 0").select("kind", "key", F.col("node").alias("u"), weight.alias("w")).join(rare.filter("side = 1").select("kind", "key", F.col("node").alias("v")), ["kind", "key"]).select("kind", "u", "v", "w")
+        # each pair of names in both orders, as either may stand on either side
+        turned = cut(alike.unionByName(alike.filter("fx <> fy").select("kind", "n", F.col("fy").alias("fx"), F.col("fx").alias("fy"), "name_l", "loose")))
+        told = turned.join(ends("x", 0), "fx").join(ends("y", 1), "fy").select(F.col("x").alias("u"), F.col("y").alias("v"), *what)
     else:
-        whole = rare.select("kind", "key", F.col("node").alias("u"), weight.alias("w")).join(rare.select("kind", "key", F.col("node").alias("v")), ["kind", "key"]).filter("u < v").select("kind", "u", "v", "w")
-    more = ordered(fine, weight.alias("w"))
-    member = classes.select(F.lit("name").alias("kind"), F.col("cls").alias("key"), "node", "side", "given", "short")
-    large = member.groupBy("key").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("n0"), F.count(F.lit(1)).alias("n")).filter(compared > HOT_BLOCK).select("key")
-    small = member.join(large, "key", "left_anti")
-    apart = _split_names(member.join(large, "key", "left_semi"))
-    close = similar_classes(classes)
-    moved = lambda x, y: member.join(close.select(F.col(x).alias("key"), F.col(y).alias("to")), "key").select("kind", F.col("to").alias("key"), "node", "side")
-    named = joined(small, small).unionByName(ordered(apart)).unionByName(joined(moved("a", "b"), member)).withColumn("w", F.lit(1.0))
-    more = more.unionByName(named)
-    both = whole.unionByName(more)
-    return both.groupBy("u", "v").agg(*[F.max(F.when(F.col("kind") == k, F.col("w"))).alias(f"{k}_w") for k in ("phone", "mail", "name")])
+        told = alike.join(ends("x", None), "fx").join(ends("y", None), "fy").filter("fx <> fy OR x < y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), *what).filter("u <> v")
+    bare = held.filter("face IS NULL").select("block", "kind", "n", F.col("node").alias("x"), F.col("side").alias("sx"))
+    other = held.select("block", F.col("node").alias("y"), F.col("side").alias("sy"), F.col("face").isNull().alias("bare_y"))
+    star = bare.join(other, "block").filter("sx <> sy" if across else "x <> y").filter("NOT bare_y OR x < y" if not across else "NOT bare_y OR sx = 0")
+    first = F.col("sx") == 0 if across else F.col("x") < F.col("y")
+    none = F.lit(None).cast("double")
+    star = star.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("v"), "kind", "n", none.alias("name_l"), none.alias("loose"))
+    weight = F.log(F.lit(float(max(2, total))) / F.col("n"))
+    every = told.unionByName(star)
+    return every.groupBy("u", "v").agg(*[F.max(F.when(F.col("kind") == k, weight)).alias(f"{k}_w") for k in ("phone", "mail")], F.max("name_l").alias("name_l"), F.coalesce(F.max("loose"), F.lit(0.0)).alias("loose"))
 
 
 def _name(given: str | None, surname: str | None, short: str | None) -> N.Name | None:
     return N.Name(given, surname, short or "") if surname else None
 
 
-def _mail_names(local: str | None, person: N.Name) -> float:
-    """How far the local part of a mailbox names a person: 1 for given name and surname, 0.8 for surname and initial, else 0."""
-    if not local:
-        return 0.0
-    t = "".join(c for c in local if c.isalpha())
-    s = person.surname
-    best = 0.0
-    for g in {person.given, person.short, *N.full_names(person.given)} - {""}:
-        for part, value in ((g, 1.0 if len(g) > 1 else 0.8), (g[0], 0.8)):
-            for rest in (t[len(part) :] if t.startswith(part) else "", t[: -len(part)] if t.endswith(part) else ""):
-                if len(rest) > 3 and N.surname_likeness(rest, s) > 0:
-                    best = max(best, value)
-    if not best and len(person.given) == 1 and s in t and len(s) > 3 and (t.startswith(person.given) or t.endswith(person.given) or t.replace(s, "", 1)[:1] == person.given):
-        best = 0.8
-    return best
+def name_scores(pairs: DataFrame) -> DataFrame:
+    """Pairs of names (``given_x``, ``surname_x``, ``short_x`` and the same of ``y``) gain ``name_l``, from 0 to 1, and ``loose``: unlike, but may be slips of one another."""
+
+    @F.pandas_udf("name_l double, loose double")
+    def score(*cols: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_name_score(*v) for v in zip(*cols, strict=True)], columns=["name_l", "loose"], dtype="float64")
+
+    return pairs.withColumn("l", score(*[f"{c}_{e}" for e in "xy" for c in ("given", "surname", "short")])).select("*", "l.*").drop("l")
+
 
+@lru_cache(maxsize=100_000)
+def _name_score(ga: str, sa: str, ha: str | None, gb: str, sb: str, hb: str | None) -> tuple[float, float]:
+    a, b = N.Name(ga, sa, ha or ""), N.Name(gb, sb, hb or "")
+    name, loose = N.name_likeness(a, b), 0.0
+    if not name and sa[0] == sb[0] and min(len(sa), len(sb)) > 5 and N.edits(sa, sb, 3) <= 3:
+        loose = 1.0 if N.given_likeness(ga, gb) >= 0.85 else 0.0
+    if not name and not loose and N.surname_likeness(sa, sb) >= 0.9 and min(len(ga), len(gb)) > 1:
+        near = N.edits(ga, gb, 2) <= 2 and max(len(ga), len(gb)) > 3
+        loose = float(near or any(N.edits(f[: len(g)], g, 1) <= 1 and f[0] == g[0] and len(g) > 2 for f, g in ((ga, gb), (gb, ga))))
+    return name, loose
 
-def _hosts_fit(a: str | None, b: str | None) -> bool:
-    return not a or not b or a == b or a.startswith(b) or b.startswith(a)
+
+def _firm(words: str | None, acronym: str | None) -> N.Firm | None:
+    return None if words is None and acronym is None else N.Firm(tuple(words.split(" ")) if words else (), acronym or "")
 
 
 def likeness(pairs: DataFrame) -> DataFrame:
-    """Pairs with the structs ``pu`` and ``pv`` gain ``name_l``, ``firm_l``, ``mail_l``, ``loose`` and ``box``.
+    """Pairs with the structs ``pu`` and ``pv`` gain ``firm_l`` (null if a firm is missing) and ``box``.
 
-    ``name_l`` is null if a name is missing; ``mail_l`` tells whether the mailboxes are one; ``loose`` that the names, though unlike, may
-    be slips of one another; ``box`` how far the mailbox of the profile without a name bears the other's.
+    ``box`` tells how far a mailbox names a person, by ``names.box_names``: of two profiles of which one has no name, the mailbox of that
+    one and the name of the other; of two with names and one mailbox, both names, the lesser counting, and 0 if the given names differ.
     """
 
-    @F.pandas_udf("name_l double, firm_l double, mail_l double, loose double, box double")
+    @F.pandas_udf("firm_l double, box double")
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for x, y in zip(a[list(ATTRIBUTES)].itertuples(index=False), b[list(ATTRIBUTES)].itertuples(index=False), strict=True):
-            nx, ny = _name(*x[:3]), _name(*y[:3])
-            name = loose = None
-            box = 0.0
+        parts = ["given", "surname", "short", "local", "firm", "acronym"]
+        for x, y in zip(a[parts].itertuples(index=False), b[parts].itertuples(index=False), strict=True):
+            nx, ny, fx, fy = _name(*x[:3]), _name(*y[:3]), _firm(*x[4:]), _firm(*y[4:])
             if nx and ny:
-                name = N.name_likeness(nx, ny)
-                if not name and nx.surname[0] == ny.surname[0] and min(len(nx.surname), len(ny.surname)) > 5 and N.edits(nx.surname, ny.surname, 3) <= 3:
-                    loose = 1.0 if N.given_likeness(nx.given, ny.given) >= 0.85 else None
-                if not name and not loose and N.surname_likeness(nx.surname, ny.surname) >= 0.9 and min(len(nx.given), len(ny.given)) > 1:
-                    loose = 1.0 if N.edits(nx.given, ny.given, 2) <= 2 and max(len(nx.given), len(ny.given)) > 3 or any(N.edits(f[: len(g)], g, 1) <= 1 and f[0] == g[0] and len(g) > 2 for f, g in ((nx.given, ny.given), (ny.given, nx.given))) else 0.0
-            elif nx or ny:
-                box = _mail_names(y[4] if nx else x[4], nx or ny)
-            fx = N.Firm(tuple(x[6]), x[7] or "") if x[6] is not None else None
-            fy = N.Firm(tuple(y[6]), y[7] or "") if y[6] is not None else None
-            firm = N.firm_likeness(fx, fy) if fx and fy else None
-            mail = None if not x[4] or not y[4] else float(x[4] == y[4] and _hosts_fit(x[5], y[5]))
-            out.append((name, firm, mail, loose or 0.0, box))
-        return pd.DataFrame(out, columns=["name_l", "firm_l", "mail_l", "loose", "box"], dtype="float64")
+                one = x[3] and x[3] == y[3] and N.given_likeness(nx.given, ny.given) > 0
+                box = min(N.box_names(x[3], nx), N.box_names(x[3], ny)) if one else 0.0
+            else:
+                local = y[3] if nx else x[3]
+                box = N.box_names(local, nx or ny) if local and (nx or ny) else 0.0
+            out.append((N.firm_likeness(fx, fy) if fx and fy else None, box))
+        return pd.DataFrame(out, columns=["firm_l", "box"], dtype="float64")
 
     return pairs.withColumn("l", score("pu", "pv")).select("*", "l.*").drop("l")
 
 
-def linked(nodes: DataFrame, across: bool, most_rounds: int = 30) -> DataFrame:
+def linked(nodes: DataFrame, across: bool, most_rounds: int = 60) -> DataFrame:
     """Edges between profiles of one person: ``u``, ``v``, ``confidence`` (0 to 1).
 
     ``nodes`` has one row per profile: ``node``, ``side`` and ``p``. Empty input gives no edges. Profiles without any name, line and
-    mailbox have none.
+    mailbox have none. The refinement ends when no name and no edge changes any more; ``most_rounds`` without an end are an error.
     """
-    nodes = cut(nodes.dropDuplicates(["node"]))
-    often = nodes.filter("p.surname IS NOT NULL").groupBy(F.col("p.surname").alias("surname")).agg(F.count(F.lit(1)).alias("s_n"))
-    withs = nodes.join(often, F.col("p.surname") == F.col("surname"), "left").select("node", "p", F.coalesce("s_n", F.lit(0)).alias("s_n"))
-    edges = candidate_edges(nodes, across)
-    side = lambda x: withs.select(F.col("node").alias(x), F.col("p").alias(f"p{x}"), F.col("s_n").alias(f"n{x}"))
-    scored = likeness(edges.join(side("u"), "u").join(side("v"), "v"))
+    flat = nodes.dropDuplicates(["node"]).select("node", "side", *[F.col(f"p.{a}").alias(a) for a in ATTRIBUTES if a != "firm"], F.array_join("p.firm", " ").alias("firm"))
+    nodes = cut(flat.withColumn("firm", F.nullif("firm", F.lit(""))))
+    again = nodes.filter("surname IS NOT NULL").groupBy("surname").agg((F.count(F.lit(1)) - 1).alias("again"))
+    withs = cut(nodes.join(again, "surname", "left").select("node", F.struct(*ATTRIBUTES, "again").alias("p")))
+    side = lambda x: withs.select(F.col("node").alias(x), F.col("p").alias(f"p{x}"))
+    scored = likeness(candidate_edges(nodes, across).join(side("u"), "u").join(side("v"), "v"))
     phone = F.coalesce(F.col("pu.phone") == F.col("pv.phone"), F.lit(False))
-    mail = F.coalesce(F.col("mail_l") > 0, F.lit(False))
+    hosts = [F.coalesce(F.col(f"{e}.host"), F.lit("")) for e in ("pu", "pv")]
+    hosts_fit = (hosts[0] == "") | (hosts[1] == "") | hosts[0].startswith(hosts[1]) | hosts[1].startswith(hosts[0])
+    mail = F.coalesce((F.col("pu.local") == F.col("pv.local")) & hosts_fit, F.lit(False))
     firm = F.coalesce(F.col("firm_l") > 0, F.lit(False))
     weight = F.when(phone, F.greatest(F.coalesce("phone_w", F.lit(1.0)), F.lit(1.0))).otherwise(0.0) + F.when(mail, F.greatest(F.coalesce("mail_w", F.lit(1.0)), F.lit(1.0))).otherwise(0.0) + F.when(firm, 2.0 * F.coalesce("firm_l", F.lit(0.0))).otherwise(0.0)
     # meta-blocking: an edge needs a shared attribute besides the names, and names that fit or can still be told
-    # surnames that are both common aren't slips of one another; where the firm alone speaks for the pair, one must be rare
-    slip_ok = phone | mail | (F.col("pu.surname") == F.col("pv.surname")) | (F.least("nu", "nv") <= 1)
-    fits = (F.col("name_l") >= F.when(phone | mail | (F.col("pu.surname") == F.col("pv.surname")), 0.4).otherwise(0.65)) & slip_ok
-    slips = (F.col("loose") > 0) & (phone | mail)
-    unnamed = F.col("name_l").isNull() & (phone | mail)
+    one_surname = F.col("pu.surname") == F.col("pv.surname")
+    # where the firm alone speaks for a pair, one surname must come again far more seldom than the other, or not at all, to be a slip of it
+    rarer, commoner = F.least("pu.again", "pv.again"), F.greatest("pu.again", "pv.again")
+    slip_ok = phone | mail | one_surname | (rarer <= SLIP_SHARE * commoner)
+    likely = F.col("name_l") >= F.when(phone | mail | one_surname, 0.4).otherwise(0.65)
+    slips = (F.col("loose") > 0) & (phone | mail) | mail & (F.col("box") >= 0.8)
     # the mailbox of a profile without a name may well name somebody else
-    elsewhere = F.col("name_l").isNull() & (F.col("box") == 0) & F.when(F.col("pu.surname").isNull(), F.col("pu.local")).otherwise(F.col("pv.local")).isNotNull()
-    kept = scored.filter((phone | mail | firm) & (fits | slips | unnamed)).select(
-        "u", "v", weight.alias("weight"), F.coalesce("name_l", F.col("box"), F.lit(0.0)).alias("name_l"), F.col("name_l").isNull().alias("unnamed"), "box", elsewhere.alias("elsewhere"), phone.alias("phone"), mail.alias("mail"), firm.alias("firm"),
+    no_name = F.col("pu.surname").isNull() | F.col("pv.surname").isNull()
+    elsewhere = no_name & (F.col("box") == 0) & F.when(F.col("pu.surname").isNull(), F.col("pu.local")).otherwise(F.col("pv.local")).isNotNull()
+    sure = F.coalesce(likely & slip_ok, F.lit(False)) | slips | (no_name & (phone | mail))
+    # what the two say doesn't do, but neighbours may tell that both spellings are of one person
+    weak = ~sure & firm & F.coalesce(F.col("name_l") >= 0.4, F.lit(False))
+    kept = scored.filter((phone | mail | firm) & (sure | weak)).select(
+        "u", "v", weight.alias("weight"), F.coalesce("name_l", F.col("box"), F.lit(0.0)).alias("name_l"), no_name.alias("unnamed"), "box", elsewhere.alias("elsewhere"), phone.alias("phone"), mail.alias("mail"), firm.alias("firm"), weak.alias("weak"),
         F.col("firm_l").alias("firm_l"), F.col("pu.given").alias("gu"), F.col("pv.given").alias("gv"), F.col("pu.surname").alias("su"), F.col("pv.surname").alias("sv"), F.col("pu.short").alias("hu"), F.col("pv.short").alias("hv"),
     )
     kept = cut(kept)
-    vague = lambda g, s: F.col(s).isNull() | (F.length(g) == 1)
-    ends = lambda a, b: kept.select(F.col(a).alias("node"), F.col(b).alias("other"), "weight", "name_l", "box", "unnamed", F.col(f"g{a}").alias("g"), F.col(f"s{a}").alias("s"), F.col(f"g{b}").alias("og"), F.col(f"s{b}").alias("os"))
-    links = ends("u", "v").unionByName(ends("v", "u"))
-    open_links = cut(links.filter(vague("g", "s")))
-    known = open_links.filter(~vague("og", "os")).select(F.col("other").alias("node"), F.col("og").alias("name_g"), F.col("os").alias("name_s"), F.lit(1.0).alias("trust")).distinct()
-    state = known
-    last = -1
-    for _ in range(most_rounds):
-        # support of each name for each vague profile: the summed weight of its neighbours that bear it
-        votes = open_links.join(state.withColumnRenamed("node", "other"), "other").filter(F.col("s").isNull() | (F.levenshtein(F.col("s"), F.col("name_s"), 2) >= 0))
-        votes = votes.filter(F.col("g").isNull() | (F.substring("g", 1, 1) == F.substring("name_g", 1, 1)) | (F.col("name_l") > 0))
-        by = votes.groupBy("node", "name_g", "name_s").agg(F.sum(F.col("trust") * (F.col("weight") + 6 * F.col("box"))).alias("w"))
-        best = by.groupBy("node").agg(F.max_by(F.struct("name_g", "name_s"), F.struct("w", "name_s", "name_g")).alias("b"), F.max("w").alias("w"))
-        taken = best.select("node", F.col("b.name_g").alias("name_g"), F.col("b.name_s").alias("name_s"), F.lit(0.8).alias("trust"))
-        state = cut(known.unionByName(taken))
-        now = state.agg(F.sum(F.xxhash64("node", "name_g", "name_s").cast("decimal(38,0)"))).first()[0]
-        if now == last:
-            break
-        last = now
-    told = state.filter(F.col("trust") < 1).select("node", "name_g", "name_s")
-    final = kept
+    told, backed = _refine(kept, most_rounds)
+    final = kept.join(backed.withColumn("backed", F.lit(True)), ["u", "v"], "left").filter(~F.col("weak") | F.col("backed"))
     for e in ("u", "v"):
         final = final.join(told.select(F.col("node").alias(e), F.col("name_g").alias(f"tg_{e}"), F.col("name_s").alias(f"ts_{e}")), e, "left")
         final = final.withColumn(f"fg_{e}", F.coalesce(f"tg_{e}", f"g{e}")).withColumn(f"fs_{e}", F.coalesce(f"ts_{e}", f"s{e}"))
 
     @F.pandas_udf("double")
     def agree(gu: pd.Series, su: pd.Series, gv: pd.Series, sv: pd.Series) -> pd.Series:
-        out = []
-        for a, b, c, d in zip(gu, su, gv, sv, strict=True):
-            out.append(N.surname_likeness(b, d) * N.given_likeness(a, c) if b and d else 0.0)
-        return pd.Series(out, dtype="float64")
+        return pd.Series([N.surname_likeness(b, d) * N.given_likeness(a, c) if b and d else 0.0 for a, b, c, d in zip(gu, su, gv, sv, strict=True)], dtype="float64")
 
-    was_vague = vague("gu", "su") | vague("gv", "sv")
+    was_vague = _vague("gu", "su") | _vague("gv", "sv")
     final = final.withColumn("now", F.when(was_vague, agree("fg_u", "fs_u", "fg_v", "fs_v")).otherwise(F.col("name_l")))
     # without a name a shared line is enough only if the mailbox or the firm doesn't speak against it
     silent = F.col("unnamed") & ~F.col("mail") & (F.col("box") == 0) & (F.coalesce(F.col("firm_l") == 0, F.lit(False)) | F.col("elsewhere"))
     told_both = F.col("fs_u").isNotNull() & F.col("fs_v").isNotNull()
-    fits_now = F.when(told_both, F.col("now") > 0).otherwise((F.col("box") > 0) | F.col("mail") | ~F.col("elsewhere"))
+    fits_now = F.when(F.col("mail") & (F.col("box") >= 0.8) | F.col("unnamed") & (F.col("box") >= 0.9), True).when(told_both, F.col("now") > 0).otherwise((F.col("box") > 0) | F.col("mail") | ~F.col("elsewhere"))
     good = final.filter((~was_vague | fits_now) & ~silent)
     strength = F.col("weight") * F.greatest(F.col("now"), F.lit(0.5))
     return good.select("u", "v", (1 - F.exp(-strength / 3)).alias("confidence"))
+
+
+def _vague(g: str, s: str) -> Column:
+    return F.col(s).isNull() | (F.length(g) == 1)
+
+
+def _refine(kept: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Names told to profiles without a full one (``node``, ``name_g``, ``name_s``) and the weak edges that neighbours back (``u``, ``v``).
+
+    Names spread hop by hop from the profiles with a full one: in each round the vague profiles next to a told one take the name that
+    their told neighbours support most. Every weak edge is scored again in each round: it counts from the round on in which one end has
+    a neighbour, over an edge that counts, that bears the very name of the other end. Both only grow, so they come to an end.
+    """
+    ends = lambda a, b: kept.select(F.col(a).alias("node"), F.col(b).alias("other"), "u", "v", "weak", "weight", "name_l", "box", F.col(f"g{a}").alias("g"), F.col(f"s{a}").alias("s"), F.col(f"g{b}").alias("og"), F.col(f"s{b}").alias("os"))
+    links = ends("u", "v").unionByName(ends("v", "u"))
+    open_links = cut(links.filter(~F.col("weak") & _vague("g", "s")))
+    known = open_links.filter(~_vague("og", "os")).select(F.col("other").alias("node"), F.col("og").alias("name_g"), F.col("os").alias("name_s"), F.lit(1.0).alias("trust")).distinct()
+    weak = cut(links.filter("weak").select("node", "other", "u", "v", "og", "os"))
+    # names that the neighbours of an end of a weak edge bear
+    borne = cut(links.filter(~F.col("weak") & F.col("os").isNotNull()).join(weak.select("node").distinct(), "node", "left_semi").select("node", "og", "os").distinct())
+    told = cut(known.limit(0))
+    backed, n_backed = cut(weak.select("u", "v").limit(0)), 0
+    for hop in range(1, most_rounds + 1):
+        # support of each name for each vague profile not told yet: the summed weight of its neighbours that bear it, less with every hop
+        votes = open_links.join(told, "node", "left_anti").join(known.unionByName(told).withColumnRenamed("node", "other"), "other")
+        votes = votes.filter(F.col("s").isNull() | (F.levenshtein(F.col("s"), F.col("name_s"), 2) >= 0))
+        votes = votes.filter(F.col("g").isNull() | (F.substring("g", 1, 1) == F.substring("name_g", 1, 1)) | (F.col("name_l") > 0))
+        by = votes.groupBy("node", "name_g", "name_s").agg(F.sum(F.col("trust") * (F.col("weight") + 6 * F.col("box"))).alias("w"))
+        best = by.groupBy("node").agg(F.max_by(F.struct("name_g", "name_s"), F.struct("w", "name_s", "name_g")).alias("b"))
+        new = cut(best.select("node", F.col("b.name_g").alias("name_g"), F.col("b.name_s").alias("name_s"), F.lit(0.8**hop).alias("trust")))
+        told = told.unionByName(new)
+        more = weak.join(backed, ["u", "v"], "left_semi").select("node", "og", "os")
+        backed = cut(weak.join(borne.unionByName(more), ["node", "og", "os"], "left_semi").select("u", "v").distinct())
+        before, n_backed = n_backed, backed.count()
+        if n_backed == before and new.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+    return told.select("node", "name_g", "name_s"), backed

@@ -205,6 +205,32 @@ def mail_parts(text: str | None) -> tuple[str, str] | None:
     return local, (host if at else "")
 
 
+#: Words of mailboxes that name nobody (fixed values).
+SHARED_BOX = frozenset("family info jobs office team contact hr mail home admin recruiting careers the".split())
+
+
+@lru_cache(maxsize=200_000)
+def box_names(local: str, person: Name) -> float:
+    """How far the local part of a mailbox names a person: 1 for given name and surname, 0.9 with slips, 0.8 for surname and initial, else 0."""
+    tokens = [w for w in re.findall(r"[a-z]+", plain(local)) if w not in SHARED_BOX]
+    t, s = "".join(tokens), person.surname
+    best = 0.0
+    for g in {person.given, person.short, *full_names(person.given)} - {""}:
+        for part, value in ((g, 1.0 if len(g) > 1 else 0.8), (g[0], 0.8)):
+            for rest in (t[len(part) :] if t.startswith(part) else "", t[: -len(part)] if t.endswith(part) else ""):
+                if len(rest) > 3 and surname_likeness(rest, s) > 0:
+                    best = max(best, value)
+        if best < 0.9 and len(g) > 1 and len(g + s) > 7 and any(w[0] == t[:1] and edits(t, w, 2) <= 2 for w in (g + s, s + g)):
+            best = 0.9
+    if best < 0.9 and len(tokens) == 2:
+        for a, b in (tokens, tokens[::-1]):
+            if len(b) > 3 and surname_likeness(b, s) > 0 and (like := given_likeness(a, person.given)) > 0:
+                best = max(best, 0.9 if like > 0.5 else 0.8)
+    if not best and len(person.given) == 1 and s in t and len(s) > 3 and (t.startswith(person.given) or t.endswith(person.given) or t.replace(s, "", 1)[:1] == person.given):
+        best = 0.8
+    return best
+
+
 #: Words that stand in for an employer (fixed values).
 NO_FIRM = frozenset(["", "freelance", "freelancer", "self employed", "selfemployed", "n a", "na", "none", "unemployed", "null", "nan", "unknown", "student", "retired", "tbd", "between jobs", "independent", "contractor", "see cv"])
 #: Legal forms (fixed values).
@@ -219,7 +245,8 @@ _LEGAL_FORM = {"limited": "ltd", "incorporated": "inc", "corporation": "corp"}
 
 def legal_form(text: str) -> str:
     """Legal form in a firm's name as typed, or ''."""
-    found = [w for w in (plain(x) for x in re.findall(r"[^\W_]+", text)) if w in LEGAL and w not in ("company", "co")]
+    whole = re.sub(r"\b(?:[A-Za-z]\.){2,}", lambda m: m[0].replace(".", ""), text)
+    found = [w for w in (plain(x) for x in re.findall(r"[^\W_]+", whole)) if w in LEGAL and w not in ("company", "co")]
     return _LEGAL_FORM.get(found[-1], found[-1]) if found else ""
 
 
@@ -236,7 +263,8 @@ def parse_firm(text: str | None) -> Firm | None:
     t = text.strip()
     if plain(re.sub(r"[\W_]+", " ", t)).strip() in NO_FIRM:
         return None
-    spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", t)
+    whole = re.sub(r"\b(?:[A-Za-z]\.){2,}", lambda m: m[0].replace(".", ""), t)  # "A.G."
+    spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", re.sub(r"(?<![A-Z])G[mM][bB]H\b", " gmbh", whole))
     raw = re.findall(r"[^\W_]+", spaced)
     head, comma, tail = spaced.partition(",")
     tail_words = [plain(w) for w in re.findall(r"[^\W_]+", tail)]

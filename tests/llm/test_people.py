@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rollweave.functions.segments import index_keys, probe_keys
+from rollweave.functions.segments import index_hashes, index_keys, probe_hashes, probe_keys
 from rollweave.llm import names as N
 from rollweave.llm.canonical import Matcher, compact, deletes, exact_counts, fold, match_column, title_forms, weighted_distance
 from rollweave.llm.linkage import linked, profile, profiles
@@ -69,6 +69,9 @@ def test_parts():
     assert N.phone_key("0000000") is None and N.phone_key(None) is None and N.phone_key("12") is None
     assert N.mail_parts(" A.b+jobs@@H.example;") == ("a.b", "h.example") and N.mail_parts("n/a") is None and N.mail_parts("x at h.test") == ("x", "h.test")
     one = [N.parse_firm(f) for f in ("Krydo Marine Corp", "KRYDO Marine", "Krydo-Marine", "KrydoMarine", "Marine, Krydo", "The Krydo Marine Company", "Krydo Marine (Corp)")]
+    assert N.parse_firm("Krydo Marine GmbH") == N.parse_firm("Krydo Marine G.m.b.H.") == N.parse_firm("Marine, Krydo") == N.parse_firm("KrydoMarine A.G.") == one[0]
+    boxes = [N.box_names(b, N.Name("vincent", "kreosquist", "")) for b in ("vincent.kreosquist", "vkreosquist92", "vincentkreosquits", "vince_kreosquist", "kreosquist.v.12", "family.kreosquist", "ann.other", "")]
+    assert boxes == [1.0, 0.8, 1.0, 0.9, 0.8, 0, 0, 0]
     assert len(set(one)) == 1 and N.parse_firm("self-employed") is None and N.parse_firm("-") is None and N.parse_firm(None) is None
     assert N.firm_likeness(one[0], N.parse_firm("Krydo Systems Ltd")) == 0 and N.firm_likeness(one[0], N.parse_firm("KRM")) == 0.6
 
@@ -107,56 +110,80 @@ def test_links(spark):
     assert linked(rows.limit(0).select("node", "side", "p"), across=True).count() == 0
 
 
-def test_hot_line_is_split(spark):
-    rows = [(0, i, f"Ann {a}{b}vel", None, "411 555 0101", None) for i, (a, b) in enumerate((a, b) for a in ("Kalo", "Tuzem", "Brim", "Domeg") for b in ("rast", "mint", "golf", "zund", "pexi"))]
-    rows += [(1, 1000 + i, n, m, p, f) for _, i, n, m, p, f in rows]
-    rows += [(s, 5000 + s * 100 + i, f"Bob Filler{c}{d}", None, "411 555 0101", None) for s in (0, 1) for i, (c, d) in enumerate((c, d) for c in "abcdefgh" for d in ("stone", "brook", "field", "gate", "worth"))]
-    table = profiles(people(spark, rows))
-    node = {(r["side"], r["row"]): r["node"] for r in table.collect()}
-    got = {(r["u"], r["v"]) for r in linked(table.select("node", "side", "p"), across=True).collect()}
-    assert {(node[0, i], node[1, 1000 + i]) for i in range(20)} <= got
-
-
-def test_large_classes_are_split_by_given_names(spark, monkeypatch):
-    from rollweave.llm import linkage
-
-    given = ["Anna", "Anton", "Agnes", "Amara", "Astrid", "Aylin", "Abigail", "Andrew", "Alexander"]
-    rows = [(s, s * 1000 + i, f"{g} Kalovric", None, f"411 55{s} 1{i:03d}", "Krydo Marine Corp") for s in (0, 1) for i, g in enumerate(given)]
-    rows += [(1, 1500, "Agnse Kalovric", None, None, "KRYDO Marine"), (1, 1501, "Abby Kalovric", None, None, "Krydo Marine"), (1, 1502, "Alex Kalovric", None, None, "Krydo Marine")]
+@pytest.mark.parametrize("across", [True, False])
+def test_a_hot_line_links_what_brute_force_links(spark, across):
+    rnd = random.Random(11)
+    stems = ["Kalovric", "Tarenzo", "Malgrinov", "Brundenolt", "Doranvelik", "Selorver"]
+    rows = [(k // 6 % 2, k, f"{rnd.choice(['Ann', 'Anna', 'Bob', 'Zoe', 'Zoey'])} {s if rnd.random() < 0.3 else slip(rnd, s).title()}", None, "411 555 0101", None) for k, s in enumerate(stems * 40)]
+    nodes = profiles(people(spark, rows))
+    node = {r["row"]: r["node"] for r in nodes.collect()}
+    name = {node[r[1]]: N.parse_name(r[2], frozenset(["ann", "bob", "zoe"])) for r in rows}
+    side = {node[r[1]]: r[0] for r in rows}
+    got = {(r["u"], r["v"]) for r in linked(nodes.select("node", "side", "p"), across).collect()}
+    want = {(u, v) for u in name for v in name if (side[u] == 0 and side[v] == 1 if across else u < v) and N.name_likeness(name[u], name[v]) >= 0.4}
+    assert len(want) > 400 and want <= got
+    assert all(N.surname_likeness(name[u].surname, name[v].surname) or N.edits(name[u].surname, name[v].surname, 3) <= 3 for u, v in got)
+
+
+def test_rows_without_a_name_keep_their_links_on_a_hot_line(spark):
+    rows = [(k % 2, k, f"Bob {a}{b}{c}", None, "411 555 0101", None) for k, (a, b, c) in enumerate((a, b, c) for a in ("Fil", "Mor", "Tes", "Wal") for b in ("enst", "igo", "urb", "avel") for c in ("one", "ook", "ield", "orth", "and", "esk"))]
+    rows += [(0, 5000, None, "zoe.malgrinov@a.example", "411 555 0101", None), (1, 5001, "Zoe Malgrinov", None, "411 555 0101", None), (1, 5002, "Z. Malgrinov", None, "411 555 0101", None)]
     table = profiles(people(spark, rows))
     node = {r["row"]: r["node"] for r in table.collect()}
-    want = {(node[i], node[1000 + i]) for i in range(len(given))} | {(node[2], node[1500]), (node[6], node[1501]), (node[8], node[1502])}
-    for most in (2_000, 3):
-        monkeypatch.setattr(linkage, "HOT_BLOCK", most)
-        assert want <= {(r["u"], r["v"]) for r in linked(table.select("node", "side", "p"), across=True).collect()}
-
-
-@pytest.mark.parametrize("across", [True, False])
-def test_hot_line_links_as_a_small_one(spark, monkeypatch, across):
-    from rollweave.llm import linkage
-
-    rows = [(k % 2, k, f"{g} {s}", None, "411 555 0101", None) for k, (g, s) in enumerate((g, s) for g in ("Ann", "Bob", "Zoe") for s in ("Kalovric", "Kalovrci", "Tarenzo", "Malgrin", "Brundenolt", "Bruedenlot"))]
-    rows += [(0, 50, None, "ann.kalovric@a.example", "411 555 0101", None), (1, 51, None, None, "411 555 0101", "Krydo Marine"), (0, 52, "Ann Doranvelik", None, "411 555 0101", None), (1, 53, "Ann Dranvleika", None, "411 555 0101", None)]
-    nodes = profiles(people(spark, rows)).select("node", "side", "p")
-    got = []
-    for most in (10**9, 4):
-        monkeypatch.setattr(linkage, "HOT_BLOCK", most)
-        got.append({(r["u"], r["v"]): round(r["confidence"], 9) for r in linked(nodes, across).collect()})
-    assert got[0] and got[1] == got[0]
+    got = {(r["u"], r["v"]) for r in linked(table.select("node", "side", "p"), across=True).collect()}
+    assert {v for u, v in got if u == node[5000]} == {node[5001], node[5002]}
 
 
 @pytest.mark.parametrize("across", [True, False])
-def test_large_classes_link_as_small_ones(spark, monkeypatch, across):
-    from rollweave.llm import linkage
-
+def test_large_classes_link_alike_given_names(spark, across):
     givens = ["Alexander", "Al", "A", "Alexandra", "Alxeandre", "Andrew", "Drew", "Anna", "Ana", "Agnieszka", "Aga"]
     rows = [(side, 100 * side + k, f"{g} Kalovric", f"box{side}{k}@a.example", None, "Krydo Marine") for side in (0, 1) for k, g in enumerate(givens)]
-    nodes = profiles(people(spark, rows)).select("node", "side", "p")
-    got = []
-    for most in (10**9, 4):
-        monkeypatch.setattr(linkage, "HOT_BLOCK", most)
-        got.append({(r["u"], r["v"]): round(r["confidence"], 9) for r in linked(nodes, across).collect()})
-    assert got[0] and got[1] == got[0]
+    nodes = profiles(people(spark, rows))
+    node = {r["row"]: r["node"] for r in nodes.collect()}
+    plain = {node[r[1]]: (N.plain(r[2].split()[0]), r[0]) for r in rows}
+    got = {(r["u"], r["v"]) for r in linked(nodes.select("node", "side", "p"), across).collect()}
+    full = {(u, v) for u, (g, s) in plain.items() for v, (h, t) in plain.items() if (s == 0 and t == 1 if across else u < v) and min(len(g), len(h)) > 1 and N.given_likeness(g, h) >= 0.4}
+    assert full == {e for e in got if min(len(plain[e[0]][0]), len(plain[e[1]][0])) > 1}
+
+
+def test_repeats_tell_slips_from_surnames(spark):
+    # one surname that comes again as often as the other isn't its slip, however many rows there are
+    for m in (1, 6):
+        rows = [(0, k, "Ann Kalovric", None, f"411 555 1{k:03d}", "Krydo Marine") for k in range(m)] + [(1, 100 + k, "Ann Kalovrik", None, f"411 555 2{k:03d}", "Krydo Marine") for k in range(m)]
+        rows += [(0, 200 + k, "Bob Tarenzo", None, f"411 555 3{k:03d}", "Krydo Marine") for k in range(10 * m)] + [(1, 400 + k, "Bob Tarenzzo", None, f"411 555 4{k:03d}", "Krydo Marine") for k in range(m)]
+        table = profiles(people(spark, rows))
+        node = {r["row"]: r["node"] for r in table.collect()}
+        got = {(r["u"], r["v"]) for r in linked(table.select("node", "side", "p"), across=True).collect()}
+        assert ((node[0], node[100]) in got) == (m == 1) and (node[200], node[400]) in got
+
+
+def test_neighbours_back_weak_edges(spark):
+    # the firm alone doesn't make a slip of a surname that comes again, but a row that bears both over a line does
+    rows = [(0, 1, "Ann Kalovric", None, "411 555 0101", "Krydo Marine"), (0, 2, "Ann Kalovric", None, "411 555 0102", "Other Textiles"), (1, 3, "Ann Kalovrik", None, "411 555 0103", "Krydo Marine"), (1, 4, "Ann Kalovrik", None, "411 555 0104", "Bolt Foods")]
+    for more, backed in (((), False), (((1, 5, "Ann Kalovrik", None, "411 555 0101", None),), True)):
+        table = profiles(people(spark, [*rows, *more]))
+        node = {r["row"]: r["node"] for r in table.collect()}
+        got = {(r["u"], r["v"]) for r in linked(table.select("node", "side", "p"), across=True).collect()}
+        assert ((node[1], node[3]) in got) == backed
+
+
+def test_hashed_segments_meet_within_their_edits(spark):
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 14))) for _ in range(60)]
+    texts = sorted({*base, *(slip(rnd, a) for a in base), *(slip(rnd, b) for b in (slip(rnd, a) for a in base) if b)} - {""})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            diag, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                diag, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diag + (x != y))
+        return row[-1]
+
+    for k in (2, 3, 4):
+        keys = {r["t"]: (set(r["i"]), set(r["p"])) for r in df.select("t", index_hashes(F.col("t"), k, F.lit("b")).alias("i"), probe_hashes(F.col("t"), k, F.lit("b")).alias("p")).collect()}
+        assert all(keys[a][0] & keys[b][1] for a in texts for b in texts if len(a) <= len(b) and lev(a, b) <= k)
 
 
 def test_spellings(spark):
