@@ -128,7 +128,7 @@ def alike_surnames(faces: DataFrame, kinds: list[str], k: int) -> DataFrame:
     within = F.xxhash64("block", "head")
     index = of.select("line", F.explode(index_hashes(F.col("surname"), k, within)).alias("seg")).select("seg", F.col("line").alias("x"))
     probe = of.select("line", F.explode(probe_hashes(F.col("surname"), k, within)).alias("seg")).select("seg", F.col("line").alias("y"))
-    met = index.join(probe, "seg").filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    met = probe.join(index.hint("shuffle_hash"), "seg").filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     text = lambda e: of.select(F.col("line").alias(e), F.col("surname").alias(f"s{e}"))
     return met.join(text("x"), "x").join(text("y"), "y").filter(F.levenshtein("sx", "sy", k) >= 0).select("x", "y")
 

@@ -73,6 +73,31 @@ _USABLE_NAME = r"""regexp_matches(full_name, '[\p{L}\p{M}][\p{L}\p{M}''’-]*[\p
   AND NOT regexp_matches(lower(full_name), '(^|[^\p{L}\p{M}''’-])(unknown|candidate|applicant|test|name|anonymous|nobody|null|none|nan|tbd|confidential)($|[^\p{L}\p{M}''’-])')"""
 
 
+def _records_sql(rounds: int = 15) -> str:
+    """Truth discovery written out round by round: support of each value by the sources' reliability, then the reliability by the support."""
+    email = r"regexp_full_match(primary_email, '[A-Za-z0-9._%+''-]+@[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')"
+    claims = rf"""c0 AS (
+  SELECT candidate_id AS gid, 'full_name' AS field, row_id, updated_at, full_name AS raw, array_to_string(list_sort(regexp_extract_all(lower(full_name), '[\p{{L}}\p{{M}}]+')), ' ') AS value, list_filter(provenance, lambda p: p.field = 'full_name')[1].source AS source FROM candidates_combined_1ab46684 WHERE {_USABLE_NAME}
+  UNION ALL
+  SELECT candidate_id, 'primary_email', row_id, updated_at, primary_email, lower(primary_email), list_filter(provenance, lambda p: p.field = 'emails')[1].source FROM candidates_combined_1ab46684 WHERE {email}),
+w AS (SELECT max(trust_rank) + 1 AS worst FROM source_trust),
+c AS MATERIALIZED (SELECT c0.* EXCLUDE (source), coalesce(c0.source, '') AS voter, c0.source, coalesce(trust_rank, worst) AS r FROM c0 CROSS JOIN w LEFT JOIN source_trust t ON t.source = c0.source WHERE gid IN (SELECT candidate_id FROM candidates_combined_1ab46684 GROUP BY 1 HAVING count(*) > 1)),
+n AS MATERIALIZED (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM c b WHERE b.gid = a.gid AND b.field = a.field AND ((b.updated_at > a.updated_at AND b.r <= a.r) OR (b.updated_at >= a.updated_at AND b.r < a.r))) THEN 0.02::DOUBLE ELSE 1.0::DOUBLE END AS n FROM c a),
+v AS MATERIALIZED (SELECT gid, field, value, voter, max(n) AS n FROM n GROUP BY ALL),
+r0 AS MATERIALIZED (SELECT voter, 1 - coalesce(trust_rank, worst - 1) / (worst + 1.0::DOUBLE) AS prior, 1 - coalesce(trust_rank, worst - 1) / (worst + 1.0::DOUBLE) AS r, false AS done FROM (SELECT DISTINCT voter FROM v) CROSS JOIN w LEFT JOIN source_trust t ON t.source = voter)"""
+    support = "SELECT gid, field, value, sum(n * r) / sum(sum(n * r)) OVER (PARTITION BY gid, field) AS support FROM v JOIN r{0} USING (voter) GROUP BY gid, field, value"
+    steps = [
+        f"""s{k} AS MATERIALIZED ({support.format(k)}),
+u{k} AS (SELECT voter, sum(n * support) AS got, sum(n) AS cast_n FROM v JOIN s{k} USING (gid, field, value) GROUP BY voter),
+r{k + 1} AS MATERIALIZED (SELECT voter, prior, CASE WHEN done THEN r ELSE new END AS r, done OR max(abs(new - r)) OVER () <= 0.005 AS done FROM (SELECT r{k}.*, (got + 10 * prior) / (cast_n + 10) AS new FROM r{k} JOIN u{k} USING (voter)))"""
+        for k in range(rounds)
+    ]
+    won = f"""f AS ({support.format(rounds)}),
+b AS (SELECT gid, field, raw, row_id, source, round(support, 6) AS support, row_number() OVER (PARTITION BY gid, field ORDER BY round(support, 9) DESC, n.n DESC, updated_at DESC, r, row_id) AS k FROM n JOIN f USING (gid, field, value))"""
+    cols = ", ".join(f"max({c}) FILTER (field = '{f}') AS {f}{s}" for f in ("full_name", "primary_email") for c, s in (("raw", ""), ("row_id", "_row"), ("source", "_source"), ("support", "_support")))
+    return f"WITH {claims}, {', '.join(steps)}, {won} SELECT gid AS candidate_id, {cols} FROM b WHERE k = 1 GROUP BY gid"
+
+
 def oracle_sql() -> dict[str, str]:
     found = f"""WITH claims AS (
   SELECT candidate_id, 'full_name' AS field_name, row_id, updated_at, list_filter(provenance, lambda p: p.field = 'full_name')[1].source AS source
@@ -85,4 +110,4 @@ ranked AS (SELECT c.*, coalesce(t.trust_rank, 1000) AS r FROM claims c LEFT JOIN
 SELECT candidate_id, field_name, row_id FROM ranked a WHERE NOT EXISTS (
   SELECT 1 FROM ranked b WHERE b.candidate_id = a.candidate_id AND b.field_name = a.field_name
     AND ((b.updated_at > a.updated_at AND b.r <= a.r) OR (b.updated_at >= a.updated_at AND b.r < a.r)))"""
-    return {"p3_found": found}
+    return {"p3_found": found, "p3_records": _records_sql()}

@@ -205,11 +205,13 @@ def test_survivors_and_reliability(spark):
         ("g", "name", 1, "a b", "good", t(1)), ("g", "name", 2, "a b", "bad", t(9)), ("g", "name", 3, "x y", "good", t(9)), ("g", "name", 4, None, "good", t(20)),
         ("h", "name", 5, "p q", "bad", t(2)), ("h", "name", 6, "p q", "good", t(2)), ("i", "name", 7, "s", None, None), ("i", "mail", 8, None, "good", t(1)), (None, "name", 9, "z", "good", t(1)),
         ("k", "name", 10, "u", "bad", t(3)), ("k", "name", 11, "w", "good", t(1)), ("k", "name", 12, "w", "good", t(1)),
+        # old copies of a replaced value don't vote it back
+        *[("l", "name", 20 + i, "old", s, t(1)) for i, s in enumerate(("bad", "bad", "other", None))], ("l", "name", 30, "new", "bad", t(5)),
     ]
     df = spark.createDataFrame(rows, "gid string, field string, row bigint, value string, source string, at timestamp")
     got = {(r["gid"], r["field"]): r["row"] for r in survivors(df, {"good": 0, "bad": 1}).collect()}
     # k: neither claim beats the other, the better supported value stays
-    assert got == {("g", "name"): 3, ("h", "name"): 6, ("i", "name"): 7, ("k", "name"): 11}
+    assert got == {("g", "name"): 3, ("h", "name"): 6, ("i", "name"): 7, ("k", "name"): 11, ("l", "name"): 30}
     assert survivors(df.limit(0), {"good": 0}).count() == 0
     votes = spark.createDataFrame([(f"g{i}", "f", "right" if s != "c" else f"wrong{i}", s, 1) for i in range(30) for s in "abc"], "gid string, field string, value string, source string, n bigint")
     reliability, support = truth_discovery(votes, {"a": 0.5, "b": 0.5, "c": 0.5})
@@ -217,6 +219,21 @@ def test_survivors_and_reliability(spark):
     assert {r["value"] for r in support.filter("support > 0.5").collect()} == {"right"}
 
 
+def test_votes_overrule_the_newest_claim(spark):
+    # "fresh" is always later than the better trusted "a", and neither is overtaken; what the other groups tell of "fresh" decides
+    t = lambda d: datetime(2024, 1, d)
+    pair = [("g", "f", 1, "of a", "a", t(1)), ("g", "f", 2, "of fresh", "fresh", t(9))]
+    got = {}
+    for good in (True, False):
+        rows = list(pair)
+        for i in range(60):
+            rows += [(f"h{i}", "f", 100 * i + 10, "x", "a", t(1)), (f"h{i}", "f", 100 * i + 11, "x" if not good or i % 3 else "y", "a2", t(1)), (f"h{i}", "f", 100 * i + 12, ("y" if i % 3 == 0 else "z") if good else f"no{i}", "fresh", t(9))]
+            rows += [(f"h{i}", "f", 100 * i + 13, rows[-1][3], "fresh2", t(9))] if good else []
+        df = spark.createDataFrame(rows, "gid string, field string, row bigint, value string, source string, at timestamp")
+        got[good] = {r["gid"]: r["row"] for r in survivors(df, {"a": 0, "a2": 0, "fresh": 1, "fresh2": 1}).collect()}["g"]
+    assert got == {True: 2, False: 1}
+
+
 def test_matcher():
     m = Matcher([(1, "Software Engineer"), (2, "Data Analyst"), (3, "Sales Manager")], TITLES, titles=True)
     want = {"software engineer": 1, "Sotfware Engineer": 1, "Sr. Programmer (remote)": 1, "Engineer, Software, Platform team": 1, "lead data analyst - contract": 2, "Analyst (Data) (m/f/x)": 2, "Junior Head of Sales": 3, "oboist": 0, "": 0, " ": 0, "x" * 5000: 0}
