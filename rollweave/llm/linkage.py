@@ -121,10 +121,10 @@ def alike_surnames(faces: DataFrame, kinds: list[str], k: int) -> DataFrame:
     This is the pigeonhole segment join: the ``k + 1`` segments of a surname are looked up, in an inverted index over (block, segment),
     among the shifted substrings of the longer ones, and what meets is verified by a banded edit distance. Only numbers are shuffled.
     """
-    of = faces.filter(F.col("kind").isin(*kinds)).select("block", "line", "surname").distinct()
+    of = faces.filter(F.col("kind").isin(*kinds)).select("block", "line", "surname", F.substring("surname", 1, 1).alias("head")).distinct()
     # a block with one surname has no pairs
-    crowd = of.groupBy("block", F.substring("surname", 1, 1).alias("head")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("block", "head")
-    of = cut(of.withColumn("head", F.substring("surname", 1, 1)).join(crowd, ["block", "head"], "left_semi"))
+    crowd = of.groupBy("block", "head").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("block", "head")
+    of = cut(of.join(crowd.hint("merge"), ["block", "head"], "left_semi"))
     within = F.xxhash64("block", "head")
     index = of.select("line", F.explode(index_hashes(F.col("surname"), k, within)).alias("seg")).select("seg", F.col("line").alias("x"))
     probe = of.select("line", F.explode(probe_hashes(F.col("surname"), k, within)).alias("seg")).select("seg", F.col("line").alias("y"))
@@ -306,20 +306,20 @@ def _refine(kept: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame]:
     known = open_links.filter(~_vague("og", "os")).select(F.col("other").alias("node"), F.col("og").alias("name_g"), F.col("os").alias("name_s"), F.lit(1.0).alias("trust")).distinct()
     weak = cut(links.filter("weak").select("node", "other", "u", "v", "og", "os"))
     # names that the neighbours of an end of a weak edge bear
-    borne = cut(links.filter(~F.col("weak") & F.col("os").isNotNull()).join(weak.select("node").distinct(), "node", "left_semi").select("node", "og", "os").distinct())
+    borne = cut(links.filter(~F.col("weak") & F.col("os").isNotNull()).join(weak.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "og", "os").distinct())
     told = cut(known.limit(0))
     backed, n_backed = cut(weak.select("u", "v").limit(0)), 0
     for hop in range(1, most_rounds + 1):
         # support of each name for each vague profile not told yet: the summed weight of its neighbours that bear it, less with every hop
-        votes = open_links.join(told, "node", "left_anti").join(known.unionByName(told).withColumnRenamed("node", "other"), "other")
+        votes = open_links.join(told.hint("merge"), "node", "left_anti").join(known.unionByName(told).withColumnRenamed("node", "other").hint("merge"), "other")
         votes = votes.filter(F.col("s").isNull() | (F.levenshtein(F.col("s"), F.col("name_s"), 2) >= 0))
         votes = votes.filter(F.col("g").isNull() | (F.substring("g", 1, 1) == F.substring("name_g", 1, 1)) | (F.col("name_l") > 0))
         by = votes.groupBy("node", "name_g", "name_s").agg(F.sum(F.col("trust") * (F.col("weight") + 6 * F.col("box"))).alias("w"))
         best = by.groupBy("node").agg(F.max_by(F.struct("name_g", "name_s"), F.struct("w", "name_s", "name_g")).alias("b"))
         new = cut(best.select("node", F.col("b.name_g").alias("name_g"), F.col("b.name_s").alias("name_s"), F.lit(0.8**hop).alias("trust")))
         told = told.unionByName(new)
-        more = weak.join(backed, ["u", "v"], "left_semi").select("node", "og", "os")
-        backed = cut(weak.join(borne.unionByName(more), ["node", "og", "os"], "left_semi").select("u", "v").distinct())
+        more = weak.join(backed.hint("merge"), ["u", "v"], "left_semi").select("node", "og", "os")
+        backed = cut(weak.join(borne.unionByName(more).hint("merge"), ["node", "og", "os"], "left_semi").select("u", "v").distinct())
         before, n_backed = n_backed, backed.count()
         if n_backed == before and new.isEmpty():
             break
