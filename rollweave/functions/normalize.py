@@ -56,13 +56,10 @@ def norm_date(x: Column) -> Column:
     return F.struct(F.when(~present, F.coalesce(exact, F.when(year, F.concat(t, F.lit("-01"))))).alias("value"), tag.alias("tag"))
 
 
-SKILLS = {name: skill for skill, names in SKILL_NAMES.items() for name in names.split("|")}
-
-
 def norm_skill(x: Column) -> Column:
     """``struct<name, verified>``: the canonical skill, else the text in title case; a blank stays as it is."""
     key = F.lower(F.regexp_replace(x, r"^\s+|\s+$", ""))
-    known = F.try_element_at(_map(SKILLS), key)
+    known = F.try_element_at(_map(SKILL_NAMES), key)
     return F.struct(F.coalesce(known, F.when(key == "", x).otherwise(title_case(F.regexp_replace(x, r"^\s+|\s+$", "")))).alias("name"), known.isNotNull().alias("verified"))
 
 

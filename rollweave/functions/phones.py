@@ -108,3 +108,13 @@ def norm_phone_in(x: Column, regions: Column, fallback: str = "US") -> Column:
         return pd.DataFrame([with_candidates(t if isinstance(t, str) else None, list(r) if r is not None else [], fallback) for t, r in zip(texts, tries, strict=True)], columns=["value", "region"])
 
     return run(x, regions)
+
+
+def norm_phone_list(x: Column, region: str = "US") -> Column:
+    """Each number of an array, null where it isn't one."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([[normalize(t, region) if isinstance(t, str) else None for t in ts] if ts is not None else None for ts in lists], dtype=object)
+
+    return run(x)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollweave.functions.claims import split_list
-from rollweave.functions.normalize import SKILLS, blank_to_null, norm_country, norm_date, norm_email, norm_skill, norm_url, strip_markdown, title_case, token_sorted
+from rollweave.functions.normalize import blank_to_null, norm_country, norm_date, norm_email, norm_skill, norm_url, strip_markdown, title_case, token_sorted
 from rollweave.functions.phones import norm_phone
-from rollweave.functions.tables import MONTH_NAMES
+from rollweave.functions.tables import MONTH_NAMES, SKILL_NAMES
 from rollweave.operators.components import connected
 from rollweave.operators.lines import fill_sections, lines_of, look_back, number_entries
 from rollweave.operators.merge import candidate_id, merge_list, merge_scalar, merge_skills, overall_confidence, source_rank, years_of
@@ -286,7 +286,7 @@ yr AS (SELECT row_id, round(sum(m) / 12.0::DOUBLE, 1) AS y FROM pe GROUP BY row_
 
 
 def oracle_sql() -> dict[str, str]:
-    skills = ", ".join("('" + k.replace("'", "''") + f"', '{v}')" for k, v in SKILLS.items())
+    skills = ", ".join("('" + k.replace("'", "''") + f"', '{v}')" for k, v in SKILL_NAMES.items())
     split = r"SELECT ats_id, item, (row_number() OVER (PARTITION BY ats_id ORDER BY i)) - 1 AS pos FROM (SELECT ats_id, regexp_replace(item, '^\s+|\s+$', '', 'g') AS item, i FROM (SELECT ats_id, unnest(regexp_split_to_array(skills_list, '[,;|]')) AS item, generate_subscripts(regexp_split_to_array(skills_list, '[,;|]'), 1) AS i FROM ats)) WHERE item <> ''"
     flat = {"full_name": ("applicant_name", "name", "full_name", "candidate_name"), "emails": ("contact_email", "email", "email_address", "primary_email"), "phones": ("contact_phone", "phone", "phone_number", "mobile"), "current_company": ("current_employer", "company", "employer", "current_company"), "title": ("job_title", "title", "role", "position"), "location.city": ("location_city", "city"), "location.region": ("location_state", "state", "region"), "location.country": ("location_country", "country"), "skills": ("skills_list", "skills", "skillset", "tech_stack"), "years_experience": ("years_of_experience", "experience_years", "yoe")}
     listed = lambda k, f: f"len(list_filter(regexp_split_to_array(payload ->> '$.{k}', '[,;|]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> ''))" if f == "skills" else "1"

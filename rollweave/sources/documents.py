@@ -1,10 +1,8 @@
-"""Résumés: text, files, and the answer of a language model."""
+"""Résumés: text, files, and the answers of a language model about them."""
 
 from __future__ import annotations
 
 import io
-import json
-import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
@@ -13,43 +11,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollweave.functions.claims import ORD, SOURCES, empty_claims
-from rollweave.functions.normalize import iso_countries
-from rollweave.functions.places import Places
-from rollweave.functions.resume_text import resume_claims, space_words
+from rollweave.functions.claims import empty_claims, shred
+from rollweave.functions.normalize import norm_text
+from rollweave.functions.text_fields import first_place, place_candidates
+from rollweave.operators.resume import resume_fields, resume_lists
+from rollweave.sources.answers import answer_lists, ask
 from rollweave.sources.files import exists, log
 
-_RAW = "row bigint, item int, candidate_key string, field string, value_text string, value_exp struct<company:string,title:string,start:string,end:string,summary:string>, value_edu struct<institution:string,degree:string,field:string,end_year:string>, method string, raw_confidence double"
-_COLUMNS = ["row", "item", "candidate_key", "field", "value_text", "value_exp", "value_edu", "method", "raw_confidence"]
 
-
-def _rows(row: int, key: str, found: list) -> list[tuple]:
-    return [(row, i, key, f, None if isinstance(v, dict) else str(v), v if f == "experience" else None, v if f == "education" else None, m, c) for i, (f, v, m, c) in enumerate(found)]
-
-
-def _finish(raw: DataFrame, source: str) -> DataFrame:
-    order = F.struct(F.lit(SOURCES[source]).alias("source"), F.col("row"), F.lit(0).alias("field"), F.col("item")).cast(ORD)
-    return raw.select(order.alias("ord"), "candidate_key", "field", "value_text", "value_exp", "value_edu", F.lit(source).alias("source"), "method", "raw_confidence", F.lit(None).cast("map<string,string>").alias("metadata"))
+def _texts(df: DataFrame, text: str, row: Column | None) -> DataFrame:
+    src = df.select((F.monotonically_increasing_id() if row is None else row).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    return src.filter(F.trim("text") != "")
 
 
 def text_claims(df: DataFrame, text: str, row: Column | None = None) -> DataFrame:
-    """Claims of résumé texts, one a row. Null and empty texts give none; a text that can't be read gives none and a warning."""
-    table = dict(iso_countries(df.sparkSession))
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = Places(table)
-        for b in batches:
-            out: list[tuple] = []
-            for at, t in zip(b["row"], b["text"], strict=True):
-                if isinstance(t, str) and t.strip():
-                    try:
-                        out += _rows(at, *resume_claims(t, places))
-                    except Exception:  # noqa: BLE001 a single document must not stop the source
-                        log.warning("document %s can't be read", at)
-            yield pd.DataFrame(out, columns=_COLUMNS)
-
-    src = df.select((F.monotonically_increasing_id() if row is None else row).cast("bigint").alias("row"), F.col(text).alias("text"))
-    return _finish(src.mapInPandas(read, _RAW), "resume_pdf")
+    """Claims of résumé texts, one a row; ``row`` numbers them, each number once. Null and blank texts give none."""
+    fields, key, lists = resume_lists(resume_fields(_texts(df, text, row)))
+    return shred(fields, key, F.col("doc"), lists, "resume_pdf")
 
 
 def docx_text(data: bytes) -> str:
@@ -95,73 +73,10 @@ class ResumeSource:
         return text_claims(file_texts(spark, path), "text", F.col("row")) if exists(spark, path) else empty_claims(spark)
 
 
-PROMPT = "Read the document below and answer with one JSON object with the keys full_name, emails, phones, location (city, region, country), links (linkedin, github, portfolio), headline, skills, experience (company, title, start, end, summary) and education (institution, degree, field, end_year). Use null for what the document does not say.\n\n"
-#: Characters of a document that go into a prompt.
-PROMPT_CHARS = 20_000
-
-
-def parse_answer(answer: str) -> dict | None:
-    """The JSON object in an answer, whatever stands around it; null if there is none."""
-    m = re.search(r"\{.*\}", answer or "", re.S)
-    try:
-        got = json.loads(m[0]) if m else None
-    except ValueError:
-        return None
-    return got if isinstance(got, dict) else None
-
-
-def answer_claims(got: dict, places: Places) -> tuple[str, list]:
-    """Key and claims of a parsed answer. Fields of a wrong kind are left out."""
-    how, sure = "llm_extraction_qwen", 0.55
-    text = lambda x: space_words(x) or None if isinstance(x, str) else None
-    many = lambda x: [t for t in map(text, x) if t] if isinstance(x, list) else []
-    name, mails, phones = text(got.get("full_name")), [m.lower() for m in many(got.get("emails"))], many(got.get("phones"))
-    out = [("full_name", name, how, sure)] if name else []
-    out += [("emails", m, how, sure) for m in dict.fromkeys(mails)] + [("phones", p, how, sure) for p in dict.fromkeys(phones)]
-    loc = got.get("location")
-    if isinstance(loc, str):
-        place = places.read(loc) or (None, None, None)
-    else:
-        loc = loc if isinstance(loc, dict) else {}
-        city, region, land = text(loc.get("city")), text(loc.get("region")), text(loc.get("country"))
-        land = places.country(land) if land else None
-        if region and len(region) == 2 and not places.state(region) and places.country(region):
-            region, land = None, places.country(region)  # a country in place of a region
-        place = (city, region, land)
-    out += [(f"location.{p}", v, how, sure) for p, v in zip(("city", "region", "country"), place) if v]
-    links = got.get("links") if isinstance(got.get("links"), dict) else {}
-    out += [(f"links.{k}", v, how, sure) for k in ("linkedin", "github", "portfolio") if (v := text(links.get(k)))]
-    out += [("headline", h, how, sure)] if (h := text(got.get("headline"))) else []
-    skills = [s for x in many(got.get("skills")) for s in (p.strip() for p in re.split(r"[,;]", x.split(":", 1)[-1])) if s]
-    out += [("skills", s, how, sure) for s in dict.fromkeys(skills)]
-    for f, parts, need in (("experience", ("company", "title", "start", "end", "summary"), ("company", "title")), ("education", ("institution", "degree", "field", "end_year"), ("institution",))):
-        for x in got.get(f) if isinstance(got.get(f), list) else []:
-            if isinstance(x, dict):
-                v = {p: (str(x[p]) if x.get(p) is not None else None) for p in parts}
-                if f == "education" and v["end_year"]:
-                    v["end_year"] = (re.findall(r"\d{4}", v["end_year"]) or [None])[0]
-                if any(v[n] for n in need):
-                    out.append((f, v, how, sure))
-    return (mails[0] if mails else phones[0] if phones else (name or "unknown").lower()), out
-
-
-def model_claims(df: DataFrame, text: str, model: Callable[[str], str], row: Column | None = None) -> DataFrame:
+def model_claims(df: DataFrame, text: str, model: Callable[[str], str], row: Column | None = None, prompt_chars: int | None = None) -> DataFrame:
     """Claims of what ``model`` (prompt -> answer) says of each text. A failing call or a broken answer gives none and a warning."""
-    table = dict(iso_countries(df.sparkSession))
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = Places(table)
-        for b in batches:
-            out: list[tuple] = []
-            for at, t in zip(b["row"], b["text"], strict=True):
-                try:
-                    got = parse_answer(model(PROMPT + t[:PROMPT_CHARS])) if isinstance(t, str) and t.strip() else None
-                    out += _rows(at, *answer_claims(got, places)) if got else []
-                except Exception as e:  # noqa: BLE001
-                    log.warning("document %s: %s", at, e)
-            yield pd.DataFrame(out, columns=_COLUMNS)
-
-    src = df.select((F.monotonically_increasing_id() if row is None else row).cast("bigint").alias("row"), F.col(text).alias("text"))
-    return _finish(src.mapInPandas(read, _RAW), "resume_llm")
-
-
+    src = _texts(df, text, row)
+    lines = F.filter(F.transform(F.split(norm_text(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    seen = src.withColumn("seen", first_place(place_candidates(lines), df.sparkSession))
+    answers, key, lists = answer_lists(ask(seen, ["doc", "seen"], "text", model, prompt_chars), F.col("seen"), ("llm_extraction_qwen", 0.55))
+    return shred(answers, key, F.col("doc"), lists, "resume_llm")

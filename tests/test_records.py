@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rollweave.functions import phones
 from rollweave.functions.normalize import github_login, norm_country, norm_date, norm_email, norm_name, norm_skill, norm_url, strip_markdown, username
 from rollweave.functions.places import Places
-from rollweave.functions.resume_text import best_page, resume_claims
+from rollweave.functions.text_fields import best_page, repair_spacing
 from rollweave.operators.components import connected
 from rollweave.operators.merge import years_of
 from rollweave.operators.project import Config, confidence_band, path_get, project_json, project_struct, validation_errors
@@ -15,7 +15,8 @@ from rollweave.operators.resolve import alike_names, greedy_clusters, lcs_ratio
 from rollweave.plans.pipeline import list_configs, load_config, read_sources, run
 from rollweave.sources.ats import AtsSource, json_claims
 from rollweave.sources.csv import CsvSource
-from rollweave.sources.documents import docx_text, model_claims, parse_answer
+from rollweave.sources.answers import agreed_place, parse_answer
+from rollweave.sources.documents import docx_text, model_claims, text_claims
 from rollweave.sources.profiles import user_claims
 
 
@@ -170,22 +171,75 @@ def test_projection_and_validation(spark):
 RESUME = "J A N E\nP O E\njane@x.org | (212) 555-0147 | Austin, TX\ngithub.com/jpoe\nSkills\nLanguages: Python, Cobol and Weaving\nTools: Loom work\nExperience\nEngineer Jan 2020 - Present\nAcme Remote\nBuilt looms\nEducation\nState University\nBachelor of Science in Looms 2012 - 2016\n"
 
 
+RESUME_2 = """Bo Lee
+bo@lee.io
++91 98765 43210
+https://www.linkedin.com/in/bolee/ , bolee.dev
+PROFESSIONAL SUMMARY
+Developerwith applicationusing React based tools,andworking fast .
+Work Experience
+• Senior Dev | Jan 2019 to Dec 2021
+Bolt - Remote
+- shippedthings
+- more Remote
+Junior Dev 2017 – 2019
+Nut Inc
+Education
+B.Tech in CS, IIT Delhi 2013-2017
+CGPA 9
+MIT Boston, Master of Science 2018
+Technical Skills & Tools
+Knows: C++, Go; weaving and Excel
+Hands on NLP and SQL
+Craft: felting, 40 projects, weaving
+Projects
+see github.com/bo/x and http://foo.bar/doi 2125550147
+Skills
+Soft: Python
+"""
+
+
 def test_documents(spark):
-    key, found = resume_claims(RESUME, Places({}))
-    got = {(f, v if isinstance(v, str) else v.get("company") or v.get("institution")) for f, v, _, _ in found}
-    assert key == "jane@x.org"
-    assert {("full_name", "Jane Poe"), ("emails", "jane@x.org"), ("location.city", "Austin"), ("links.github", "github.com/jpoe"), ("skills", "Python"), ("skills", "Loom work"), ("experience", "Acme"), ("education", "State University")} <= got
-    assert best_page("see docs.rs/x and https://me.github.io and a.b") == "https://me.github.io"
-    assert parse_answer('```json\n{"a": 1}\n```') == {"a": 1} and parse_answer("no") is None and parse_answer("[1]") is None
-    df = spark.createDataFrame([("doc",), (None,), ("boom",)], "t string")
+    df = spark.createDataFrame([(1, RESUME), (2, RESUME_2), (3, ""), (4, None), (5, "  \n "), (6, "x")], "n int, t string")
+    rows = text_claims(df, "t", F.col("n")).orderBy("ord").collect()
+    got = {n: [(r["field"], r["value_text"] or tuple(r["value_exp"] or r["value_edu"])) for r in rows if r["ord"]["row"] == n] for n in range(1, 7)}
+    assert {r["ord"]["row"]: r["candidate_key"] for r in rows} == {1: "jane@x.org", 2: "bo@lee.io", 6: "x"}
+    assert got[1] == [
+        ("full_name", "Jane Poe"), ("emails", "jane@x.org"), ("phones", "(212) 555-0147"), ("links.github", "github.com/jpoe"), ("location.city", "Austin"), ("location.region", "TX"), ("location.country", "US"),
+        ("skills", "Python"), ("skills", "Loom work"), ("experience", ("Acme", "Engineer", "Jan 2020", "Present", "Built looms")), ("education", ("State University", "Bachelor of Science", "Looms", "2016")),
+    ]
+    assert got[2] == [
+        ("full_name", "Bo Lee"), ("emails", "bo@lee.io"), ("phones", "+91 98765 4321"), ("links.linkedin", "linkedin.com/in/bolee"), ("links.portfolio", "bolee.dev"), ("links.other", "github.com/bo"), ("links.other", "foo.bar/doi"),
+        ("skills", "C++"), ("skills", "Excel"), ("skills", "SQL"), ("skills", "NLP"), ("skills", "felting"), ("skills", "weaving"), ("skills", "Python"),
+        ("experience", ("Bolt", "Senior Dev", "Jan 2019", "Dec 2021", "shippedthings")), ("experience", ("Nut Inc", "Junior", "Dev 2017", "2019", None)),
+        ("education", ("B.Tech in CS, IIT Delhi 2013-2017", "B.Tech", "CS, IIT Delhi", "2017")), ("education", ("MIT Boston", "Master of Science", None, "2018")),
+        ("headline", "Developerwith application using React-based tools, and working fast."),
+    ]
+    assert got[3] == got[4] == got[5] == [] and got[6] == [("full_name", "x")]
+    assert text_claims(df.limit(0), "t", F.col("n")).count() == 0
+    assert apply(spark, best_page, ["see docs.rs/x and https://me.github.io and a.b", "node.js and x", None]) == ["https://me.github.io", None, None]
+    assert apply(spark, repair_spacing, ["  a  b ,c ", "", None, "bymigratinga webchatbotusing x"]) == ["a b, c", None, None, "by migrating a web chatbotusing x"]
+
+
+def test_answers(spark):
+    parsed = apply(spark, lambda c: F.to_json(parse_answer(c)), ['```json\n{"a": 1}\n```', "no", "[1]", None, "{broken"])
+    assert parsed == ['{"a":1}', None, None, None, None]
+    df = spark.createDataFrame([("doc",), (None,), ("boom",), ("",)], "t string")
 
     def model(prompt):
         if "boom" in prompt:
             raise OSError("down")
-        return '{"full_name": "Ed Poe", "emails": ["E@x.org"], "location": {"city": "Pune", "region": "IN"}, "skills": ["Tools: a, b"], "education": [{"institution": "U", "end_year": "in 2012"}]}'
+        return '{"full_name": "ed POE", "emails": ["E@x.org", "bad", 7, "e@X.org"], "phones": ["(212) 555-0147", "12"], "location": {"city": "Pune", "region": "IN"}, "skills": ["Tools: py, weaving; k8s", 3], "links": {"github": " github.com/ed "}, "experience": [{"company": "A", "start": "March 2020", "end": "now"}, {"start": "2020"}, "x"], "education": [{"institution": "U", "end_year": "in 2012"}, {}]}'
 
-    rows = {(r["field"], r["value_text"] or r["value_edu"]["end_year"]) for r in model_claims(df, "t", model).collect()}
-    assert {("full_name", "Ed Poe"), ("emails", "e@x.org"), ("skills", "a"), ("education", "2012")} <= rows
+    rows = [(r["field"], r["value_text"] or tuple(r["value_exp"] or r["value_edu"])) for r in model_claims(df, "t", model).orderBy("ord").collect()]
+    assert rows == [
+        ("full_name", "Ed Poe"), ("emails", "e@x.org"), ("phones", "+12125550147"), ("location.city", "Pune"), ("location.country", "IN"), ("links.github", "github.com/ed"), ("skills", "Python"), ("skills", "Weaving"), ("skills", "Kubernetes"), ("skills", "3"),
+        ("experience", ("A", "", "2020-03", None, None)), ("education", ("U", None, None, "2012")),
+    ]
+    p, pune = Places({"us": "US", "usa": "US", "india": "IN", "in": "IN"}), ("Pune", None, "IN")
+    assert agreed_place("Austin, TX", pune, p) == pune and agreed_place("Austin, TX, USA", pune, p) == ("Austin", "TX", "US") and agreed_place("Austin, TX", None, p) == ("Austin", "TX", "US")
+    assert agreed_place({"city": "Delhi", "country": "USA"}, pune, p) == pune and agreed_place({"city": "Oslo", "region": "Oslo County", "country": "India"}, pune, p) == ("Oslo", "Oslo County", "IN")
+    assert agreed_place({}, pune, p) == pune and agreed_place(None, None, p) is None and agreed_place({"full": "Delhi, India"}, None, p) == ("Delhi", None, "IN") and agreed_place({"city": "Delhi", "region": "IN"}, None, p) == ("Delhi", None, "IN")
 
 
 def test_docx_and_profiles(spark):
@@ -199,7 +253,15 @@ def test_docx_and_profiles(spark):
         z.writestr("word/document.xml", xml)
     assert docx_text(b.getvalue()) == "One\nTwo"
     saved = {"/users/octo": {"login": "octo", "name": "Octo Cat", "email": None, "location": "Austin, TX", "company": "@Acme", "html_url": "https://github.com/octo"}, "/users/octo/repos?per_page=100": [{"language": "Go", "fork": False}, {"language": "C", "fork": True}], "/repos/octo/octo/readme": {"encoding": "base64", "content": base64.b64encode(b"I like Python and Docker").decode()}}
-    users = spark.createDataFrame([("octo",), ("https://github.com/octo",), ("nobody",)], "u string")
-    got = {(r["field"], r["value_text"], r["source"]) for r in user_claims(users, "u", saved.get).collect()}
-    assert {("full_name", "Octo Cat", "github_api"), ("location.region", "TX", "github_api"), ("current_company", "Acme", "github_api"), ("skills", "Go", "github_api"), ("skills", "Docker", "github_readme_regex")} <= got
-    assert ("skills", "C", "github_api") not in got
+    saved["/users/plain"] = {"login": "plain"}
+    saved["/users/plain/repos?per_page=100"] = [{"language": "Go", "fork": False}] * 100
+    saved["/users/plain/repos?per_page=100&page=2"] = [{"language": "Rust", "fork": False}]
+    saved["/repos/plain/plain/readme"] = {"encoding": "none", "download_url": "https://raw.test/plain"}
+    saved["https://raw.test/plain"] = "# Hi there\nI build small looms for large rooms.\nBased in Austin, TX\nhttps://plain.github.io/"
+    users = spark.createDataFrame([("octo",), ("https://github.com/octo",), ("nobody",), ("plain",)], "u string")
+    got = {(r["candidate_key"], r["field"], r["value_text"], r["source"]) for r in user_claims(users, "u", saved.get).collect()}
+    octo = {("octo cat", f, v, s) for f, v, s in (("full_name", "Octo Cat", "github_api"), ("location.region", "TX", "github_api"), ("current_company", "Acme", "github_api"), ("skills", "Go", "github_api"), ("skills", "Docker", "github_readme_regex"))}
+    plain = {("plain", f, v, s) for f, v, s in (("skills", "Go", "github_api"), ("skills", "Rust", "github_api"), ("headline", "I build small looms for large rooms.", "github_readme_regex"), ("links.portfolio", "https://plain.github.io/", "github_readme_regex"), ("location.city", "Austin", "github_readme_regex"), ("links.github", "https://github.com/plain", "github_readme_regex"))}
+    assert octo | plain <= got and ("octo cat", "skills", "C", "github_api") not in got and len({k for k, *_ in got}) == 2
+    more = user_claims(users, "u", saved.get, lambda prompt: '{"full_name": "pl AIN", "skills": ["py"]}' if "looms" in prompt else "?")
+    assert {(r["candidate_key"], r["field"], r["value_text"]) for r in more.filter("source = 'github_readme_llm'").collect()} == {("plain", "full_name", "Pl Ain"), ("plain", "skills", "Python"), ("plain", "links.github", "https://github.com/plain")}
