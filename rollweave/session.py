@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so that no later stage recomputes its lineage."""
+    """Write ``df`` to the shared checkpoint folder and go on from there, so that no later stage recomputes its lineage.
+
+    What Python still holds of the plans so far is let go: the driver keeps their broadcasts and the shuffle files stay as long as it doesn't.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    return out
