@@ -10,8 +10,9 @@
    between them, so stretches don't matter here: ``term_counts`` counts every term of the vocabulary in every text, and a second
    reading stores all postings of the terms that are the rarest of some item.
 
-The evaluation side goes to all tasks in blocks of at most ``BLOCK_CHARS`` characters; one block is one pass over the corpus. A
-word is a run of letters or digits in lower case; HTML tags count as spaces. Terms are kept as numbers of the block's vocabulary.
+The vocabulary of all evaluation texts is sent to every task, so the corpus is read and indexed once however many of them there are; the
+windows to look up go to the index in blocks of at most ``BLOCK_CHARS`` characters. A word is a run of letters or digits in lower case;
+HTML tags count as spaces. Terms are kept as numbers of the vocabulary.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 from rollweave.session import cut
 
-#: Characters of evaluation text whose vocabulary and windows are broadcast at once.
+#: Characters of evaluation text whose windows are broadcast at once.
 BLOCK_CHARS = 4_000_000
+#: Words of the evaluation vocabulary that are sent to every task at once; natural language rarely has more.
+MOST_TERMS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?(?:[abipu]|em|strong|br|hr|span|div|li|ul|ol|h[1-6]|code|pre|td|tr|th|table|font|sup|sub)(?:\s[^<>]*)?/?>", re.I)
@@ -55,6 +59,19 @@ def _tokens(items: DataFrame, item: str, text: str) -> list[tuple]:
     return [(r[0], words(r[1])) for r in items.select(item, text).filter(F.col(text).isNotNull()).distinct().collect()]
 
 
+def vocabularies(items: DataFrame, text: str, most_terms: int = MOST_TERMS) -> list[dict[str, int]]:
+    """Words of all evaluation texts with their numbers, in order: one vocabulary, or several of at most ``most_terms`` where one would be too large to send."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column(0) for w in words(t.as_py())}), pa.string())], ["w"])
+
+    distinct = cut(items.select(text).mapInArrow(split, "w string").distinct())
+    n = distinct.count()
+    parts = max(1, -(-n // max(1, most_terms // 2))) if n > most_terms else 1
+    picked = [distinct if parts == 1 else distinct.filter(F.pmod(F.xxhash64("w"), F.lit(parts)) == k) for k in range(parts)]
+    return [{w: k * most_terms + i for i, w in enumerate(sorted(r[0] for r in p.collect()))} for k, p in enumerate(picked)]
+
+
 def build_index(docs: DataFrame, doc: str, text: str, vocabulary: dict[str, int], run: int) -> DataFrame:
     """Postings ``doc``, ``term``, ``pos`` of all stretches of at least ``run`` words of the vocabulary. Null and short texts have none."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -141,7 +158,7 @@ def proximity_matches(index: DataFrame, rare: DataFrame, terms: int, span: int)
     return hits.withColumn("n", F.size(F.collect_set("term").over(near))).filter(F.col("n") == terms).groupBy("doc", "item").agg(F.min("pos").alias("doc_pos"))
 
 
-def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 12, block_chars: int = BLOCK_CHARS, near: tuple[int, int] | None = None) -> DataFrame:
+def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 12, block_chars: int = BLOCK_CHARS, near: tuple[int, int] | None = None, most_terms: int = MOST_TERMS) -> DataFrame:
     """All places where a document shares a run of at least ``run`` consecutive words with an item, as ``phrase_matches`` tells them.
 
     With ``near`` = (terms, span) the proximity matches instead, whatever ``run``. Null and empty texts and items of fewer than ``run``
@@ -150,17 +167,26 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     """
     spark: SparkSession = docs.sparkSession
     kind = dict(items.dtypes)[item]
-    out = None
-    for block in item_blocks(items, item, item_text, block_chars):
-        held = [(i, w) for i, w in _tokens(block, item, item_text) if near or len(w) >= run]
-        vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in held for w in ws}))}
-        tokens = spark.createDataFrame([(i, p, vocabulary[w]) for i, ws in held for p, w in enumerate(ws)], f"item {kind}, ipos int, term int")
-        if near is None:
-            found = phrase_matches(cut(build_index(docs, doc, text, vocabulary, run)), tokens, run)
+    parts = vocabularies(items, item_text, most_terms)
+    vocabulary = {w: k for part in parts for w, k in part.items()}
+
+    def tokens(block: DataFrame) -> DataFrame:
+        rows = [(i, w) for i, w in _tokens(block, item, item_text) if near or len(w) >= run]
+        return spark.createDataFrame([(i, p, vocabulary[w]) for i, ws in rows for p, w in enumerate(ws)], f"item {kind}, ipos int, term int")
+
+    blocks = [tokens(b) for b in item_blocks(items, item, item_text, block_chars)]
+    if near is None:
+        if len(parts) == 1:
+            index = cut(build_index(docs, doc, text, vocabulary, run))
         else:
-            rare = cut(rarest_terms(term_counts(docs, text, vocabulary), tokens, near[0]))
-            wanted = {r[0] for r in rare.select("term").distinct().collect()}  # no more than the block's vocabulary
-            index = cut(build_index(docs, doc, text, {w: k for w, k in vocabulary.items() if k in wanted}, 1))
-            found = proximity_matches(index, rare, *near)
-        out = found if out is None else out.unionByName(found)
-    return out
+            # the stretches of the whole vocabulary can't be told from parts of it; all postings are kept
+            index = cut(reduce(DataFrame.unionByName, [build_index(docs, doc, text, part, 1) for part in parts]))
+        found = [phrase_matches(index, t, run) for t in blocks]
+    else:
+        counts = cut(reduce(DataFrame.unionByName, [term_counts(docs, text, part) for part in parts]))
+        rare = [cut(rarest_terms(counts, t, near[0])) for t in blocks]
+        wanted = {r[0] for df in rare for r in df.select("term").distinct().collect()}  # no more than the vocabulary
+        held = [{w: k for w, k in part.items() if k in wanted} for part in parts]
+        index = cut(reduce(DataFrame.unionByName, [build_index(docs, doc, text, part, 1) for part in held]))
+        found = [proximity_matches(index, r, *near) for r in rare]
+    return reduce(DataFrame.unionByName, found)

@@ -38,4 +38,23 @@ e AS (SELECT item_id AS id, string_split(trim(regexp_replace(lower(text), '[^\p{
 dw AS (SELECT id, hash(w[k:k+11]) AS h FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 10))) AS k FROM d)),
 ew AS (SELECT id, hash(w[k:k+11]) AS h FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 10))) AS k FROM e))
 SELECT DISTINCT dw.id AS doc_id, ew.id AS item_id FROM dw JOIN ew USING (h)"""
-    return {"p9_found": found}
+    grams = r"""WITH d AS (SELECT doc_id AS id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+e AS (SELECT item_id AS id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM eval_items)"""
+    items = grams + r""",
+dw AS (SELECT id, k, hash(w[k:k+11]) AS h FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 10))) AS k FROM d)),
+ew AS (SELECT id, k, hash(w[k:k+11]) AS h FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 10))) AS k FROM e)),
+m AS (SELECT dw.id AS doc_id, ew.id AS item_id, dw.k - ew.k AS shift, ew.k AS k FROM dw JOIN ew USING (h)),
+r AS (SELECT doc_id, item_id, shift, k - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY k) AS island FROM m),
+l AS (SELECT doc_id, item_id, count(*) + 11 AS length FROM r GROUP BY doc_id, item_id, shift, island)
+SELECT item_id, count(DISTINCT doc_id) AS documents, CAST(max(length) AS INTEGER) AS longest_run FROM l GROUP BY item_id"""
+    # HTML tags count as spaces; for positions that matters, for twelve words in a row of these tables it doesn't
+    tags = r"""CASE WHEN contains(text, '</') OR contains(text, '/>') OR contains(text, '<br') THEN regexp_replace(text, '</?(?:[abipu]|em|strong|br|hr|span|div|li|ul|ol|h[1-6]|code|pre|td|tr|th|table|font|sup|sub)(?:\s[^<>]*)?/?>', ' ', 'gi') ELSE text END"""
+    near = grams.replace("lower(text)", f"lower({tags})") + r""",
+et AS (SELECT DISTINCT id, unnest(w) AS term FROM e), vocabulary AS (SELECT DISTINCT term FROM et),
+dp AS MATERIALIZED (SELECT id, term, pos FROM (SELECT id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d) SEMI JOIN vocabulary USING (term)),
+df AS (SELECT term, count(*) AS df FROM dp GROUP BY term),
+rare AS (SELECT id AS item_id, term FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY df, term) AS n, count(*) OVER (PARTITION BY id) AS m FROM et JOIN df USING (term)) WHERE n <= 8 AND m >= 8),
+hit AS (SELECT dp.id AS doc_id, item_id, term, pos FROM dp JOIN rare USING (term)),
+near AS (SELECT a.doc_id, a.item_id, a.pos FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.pos BETWEEN a.pos AND a.pos + 59 GROUP BY ALL HAVING count(DISTINCT b.term) = 8)
+SELECT doc_id, item_id, CAST(min(pos) AS INTEGER) AS first_word FROM near GROUP BY doc_id, item_id"""
+    return {"p9_found": found, "p9_items": items, "p9_near": near}
