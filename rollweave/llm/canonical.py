@@ -13,15 +13,20 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from math import comb
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollweave.llm.vocabulary import LEVELS, MODES
+from rollweave.session import cut
 
-#: Most strings in the dictionary that is sent to every task.
-MOST_STRINGS = 20_000_000
+#: Most rows of the reference lists and of the table of other names.
+MOST_ENTRIES = 200_000
+
+#: Most strings in the dictionary that is sent to every task; they take some 250 bytes each in a worker.
+MOST_STRINGS = 1_000_000
 
 #: Rows of the keyboard, for slips to a neighbouring key (fixed values).
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
@@ -124,10 +129,14 @@ class Matcher:
                     if f and self.exact.setdefault(f, i) == i:
                         names.append((f, i))
                     self.tight.setdefault(compact(name), i)
-        for f, i in dict.fromkeys(names):
+        names = list(dict.fromkeys(names))
+        most = sum(comb(len(f), j) for f, _ in names for j in range(reach(len(f)) + 1))
+        if most > MOST_STRINGS:
+            raise ValueError(f"the dictionary may have {most} strings, more than {MOST_STRINGS}")
+        for f, i in names:
             for d in deletes(f, reach(len(f))):
                 self.near.setdefault(d, []).append((f, i))
-        self.size = sum(len(v) for v in self.near.values())
+        self.size = most
         self.find = lru_cache(maxsize=100_000)(self._find)
 
     def __getstate__(self):
@@ -160,19 +169,51 @@ class Matcher:
         return best[2] if best else 0
 
 
-def exact_counts(values: DataFrame, list_col: str, value_col: str, matchers: dict[str, Matcher]) -> None:
+def matchers(entries: DataFrame, aliases: DataFrame, titles: tuple[str, ...] = (), most_entries: int = MOST_ENTRIES) -> dict[str, Matcher]:
+    """A matcher for each list of ``entries`` (``list_name``, ``item_id``, ``canonical_value``), with other names of its entries from ``aliases``.
+
+    ``aliases`` has ``list_name``, ``canonical_value`` and ``other_name``; case and blanks of the canonical value don't matter, earlier
+    ``place`` counts first. Lists named in ``titles`` are read as job titles. Both tables may have at most ``most_entries`` rows.
+    """
+    rows = entries.select("list_name", "item_id", "canonical_value").limit(most_entries + 1).collect()
+    more = aliases.select("list_name", "canonical_value", "other_name", "place").limit(most_entries + 1).collect()
+    if max(len(rows), len(more)) > most_entries:
+        raise ValueError("the reference lists are too long")
+    others: dict[tuple[str, str], list[str]] = {}
+    for r in sorted(more, key=lambda r: (r["list_name"], r["place"])):
+        others.setdefault((r["list_name"], fold(r["canonical_value"])), []).append(r["other_name"])
+    out = {}
+    for name in sorted({r["list_name"] for r in rows}):
+        own = [(r["item_id"], r["canonical_value"]) for r in rows if r["list_name"] == name and r["canonical_value"]]
+        out[name] = Matcher(own, {v: tuple(others.get((name, fold(v)), ())) for _, v in own}, titles=name in titles)
+    return out
+
+
+def exact_counts(values: DataFrame, list_col: str, value_col: str, count_col: str, matchers: dict[str, Matcher]) -> None:
     """Count how often each entry is typed as it is, over all ``values``, and give the counts to the matchers.
 
     Grouped before the join, so at most one row per name of the dictionaries reaches the driver.
     """
     spark: SparkSession = values.sparkSession
     names = spark.createDataFrame([(n, f, i) for n, m in matchers.items() for f, i in m.exact.items()], "list string, name string, item bigint")
-    typed = values.select(F.col(list_col).alias("list"), F.lower(F.trim(F.regexp_replace(F.col(value_col), r"\s+", " "))).alias("name"))
-    got = typed.join(F.broadcast(names), ["list", "name"]).groupBy("list", "item").agg(F.count(F.lit(1)).alias("n")).collect()
+    typed = values.select(F.col(list_col).alias("list"), F.lower(F.trim(F.regexp_replace(F.col(value_col), r"\s+", " "))).alias("name"), F.col(count_col).alias("n"))
+    got = typed.join(F.broadcast(names), ["list", "name"]).groupBy("list", "item").agg(F.sum("n").alias("n")).collect()
     for r in got:
         matchers[r["list"]].counts[r["item"]] = r["n"]
 
 
+def match_values(values: DataFrame, list_col: str, value_col: str, matchers: dict[str, Matcher]) -> DataFrame:
+    """``values`` with ``item_id``, the entry that the value means in its list; 0 if there is none, or the value is null, or the list unknown.
+
+    ``values`` should be cheap to read again. Values are counted, which leaves one row for each distinct one before the shuffle, then looked
+    up and joined back; a value that a third of all rows hold is a heavy key of that join alone, which adaptive execution splits.
+    """
+    distinct = cut(values.filter(F.col(value_col).isNotNull()).groupBy(list_col, value_col).agg(F.count(F.lit(1)).alias("__n")))
+    exact_counts(distinct, list_col, value_col, "__n", matchers)
+    found = cut(distinct.select(list_col, value_col, match_column(values.sparkSession, F.col(list_col), F.col(value_col), matchers).alias("item_id")))
+    return values.join(found, [list_col, value_col], "left").withColumn("item_id", F.coalesce("item_id", F.lit(0).cast("bigint")))
+
+
 def match_column(spark: SparkSession, list_col: Column, value_col: Column, matchers: dict[str, Matcher]) -> Column:
     """Entry id of a value in the list named by ``list_col``; 0 if there is none, or the value is null, or the list unknown."""
     size = sum(m.size for m in matchers.values())

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollweave.llm.canonical import Matcher, exact_counts, match_column
+from rollweave.llm.canonical import match_values, matchers
 from rollweave.llm.vocabulary import ALIASES
 from rollweave.operators.packed import dictionary, explode_packed
 from rollweave.session import cut, table
 
-#: Most entries of the reference lists.
-MOST_ENTRIES = 200_000
-
-
 def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ats_id``, ``field_name``, ``pos`` and ``value`` of every typed value."""
     ats = table(spark, sf_dir, "ats")
@@ -23,15 +19,15 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ats.select("ats_id", single.alias("v")).select("ats_id", "v.*").filter(F.col("value") != "").unionByName(skills)
 
 
+def other_names(spark: SparkSession) -> DataFrame:
+    """Table of other names of entries: ``list_name``, ``canonical_value``, ``other_name``, ``place``."""
+    rows = [(n, v, o, k) for n, names in ALIASES.items() for v, others in names.items() for k, o in enumerate(others)]
+    return spark.createDataFrame(rows, "list_name string, canonical_value string, other_name string, place int")
+
+
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = table(spark, sf_dir, "reference_items").select("list_name", "item_id", "canonical_value").limit(MOST_ENTRIES + 1).collect()
-    if len(entries) > MOST_ENTRIES:
-        raise ValueError("the reference lists are too long")
-    lists = sorted({e["list_name"] for e in entries})
-    matchers = {n: Matcher([(e["item_id"], e["canonical_value"]) for e in entries if e["list_name"] == n and e["canonical_value"]], ALIASES.get(n), titles=n == "job_title") for n in lists}
-    values = cut(typed_values(spark, sf_dir))
-    exact_counts(values, "field_name", "value", matchers)
-    return values.withColumn("item_id", match_column(spark, F.col("field_name"), F.col("value"), matchers))
+    lists = matchers(table(spark, sf_dir, "reference_items"), other_names(spark), titles=("job_title",))
+    return match_values(cut(typed_values(spark, sf_dir)), "field_name", "value", lists)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

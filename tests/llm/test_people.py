@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rollweave.functions.segments import index_hashes, index_keys, probe_hashes, probe_keys
 from rollweave.llm import names as N
-from rollweave.llm.canonical import Matcher, compact, deletes, exact_counts, fold, match_column, title_forms, weighted_distance
+from rollweave.llm.canonical import Matcher, compact, deletes, fold, match_values, matchers, title_forms, weighted_distance
 from rollweave.llm.linkage import linked, profile, profiles
 from rollweave.llm.survivors import survivors, truth_discovery
 from rollweave.llm.variants import firm_groups, pairs_within, person_groups
@@ -244,9 +244,15 @@ def test_matcher():
     assert fold("  Ä  b ") == "ä b" and compact("Node.JS!") == "nodejs" and deletes("abc", 1) == {"abc", "ab", "ac", "bc"}
 
 
-def test_match_column(spark):
-    df = spark.createDataFrame([("l", "Pyhton", 0), ("l", None, 0), ("l", "", 0), ("no", "Python", 0), ("l", "python", 0)], "list string, v string, item_id int")
-    m = {"l": Matcher([(9, "Python")])}
-    exact_counts(df, "list", "v", m)
-    assert m["l"].counts == {9: 1}
-    assert [r[0] for r in df.select(match_column(spark, F.col("list"), F.col("v"), m)).collect()] == [9, 0, 0, 0, 9]
+def test_match_values(spark):
+    df = spark.createDataFrame([("l", "Pyhton", 0), ("l", None, 0), ("l", "", 0), ("no", "Python", 0), ("l", "python", 0), ("l", "Snake", 7), ("l", "Pyhton", 0)], "list string, v string, n int")
+    entries = spark.createDataFrame([("l", 9, "Python"), ("l", 10, None), ("k", 11, "Python")], "list_name string, item_id bigint, canonical_value string")
+    aliases = spark.createDataFrame([("l", " PYTHON", "snake", 0), ("k", "Python", "other", 0), ("x", "none", "none", 0)], "list_name string, canonical_value string, other_name string, place int")
+    m = matchers(entries, aliases)
+    got = sorted((r["list"], r["v"] or "-", r["item_id"]) for r in match_values(df, "list", "v", m).collect())
+    assert got == [("l", "-", 0), ("l", "-", 0), ("l", "Pyhton", 9), ("l", "Pyhton", 9), ("l", "Snake", 9), ("l", "python", 9), ("no", "Python", 0)]
+    assert m["l"].counts == {9: 2} and match_values(df.limit(0), "list", "v", m).count() == 0
+    with pytest.raises(ValueError, match="too long"):
+        matchers(entries, aliases, most_entries=1)
+    with pytest.raises(ValueError, match="strings"):
+        Matcher([(i, f"{i:030d}") for i in range(3000)])
