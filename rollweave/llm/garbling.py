@@ -173,7 +173,9 @@ def garbled_units(doc_units: DataFrame) -> DataFrame:
                         ns.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(originals, pa.string()), pa.array(chains, pa.string()), pa.array(kinds, pa.int32()), pa.array(ns, pa.int64())], ["unit", "original", "chain", "kind", "m"])
 
-    forms = known.unionByName(signs).mapInArrow(garble, "unit string, original string, chain string, kind int, m bigint")
+    # making the forms is the dearest step and its input is small: spread over all tasks
+    spread = known.unionByName(signs).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    forms = spread.mapInArrow(garble, "unit string, original string, chain string, kind int, m bigint")
     hit = cut(forms.join(known, "unit").filter((F.col("kind") != 1) | (F.col("m") >= F.col("n"))))
     tie = (F.col("kind") == 1) & (F.col("m") == F.col("n"))
     odd = F.pandas_udf(lambda s: s.map(oddness).astype("int32"), "int")

@@ -27,9 +27,19 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * CAPACITY)).alias("fill"))
 
 
+def p8_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any packing: every document is laid in, no container is overfull, nothing is cut that fits, and no piece but the last of a document is short."""
+    p = cut(_packed(spark, sf_dir))
+    over = p.groupBy("container").agg(F.sum("n_tokens").alias("used")).filter(F.col("used") > CAPACITY).agg(F.count(F.lit(1)).alias("overfull"))
+    per = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"), F.count_if(F.col("n_tokens") == CAPACITY).alias("full"), F.sum("n_tokens").alias("size"))
+    wrong = (F.col("pieces") != F.col("last")) | (F.col("full") < F.col("pieces") - 1) | ((F.col("pieces") > 1) & (F.col("size") <= CAPACITY))
+    cuts = per.agg(F.count(F.lit(1)).alias("documents"), F.count_if(wrong).alias("ill_cut"))
+    return cuts.withColumn("k", F.lit(1)).join(over.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 def queries() -> dict:
-    return {"p8_packed": p8_packed, "p8_fill": p8_fill}
+    return {"p8_packed": p8_packed, "p8_fill": p8_fill, "p8_sound": p8_sound}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p8_sound": "SELECT count(*) AS documents, 0::BIGINT AS ill_cut, 0::BIGINT AS overfull FROM documents"}
