@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rollweave.plans import p4_queries, p5_queries, p6_queries, record_queries
+from rollweave.plans import p4_queries, p5_queries, p6_queries, record_queries, value_queries
 
-MODULES = (record_queries, p4_queries, p5_queries, p6_queries)
+MODULES = (record_queries, value_queries, p4_queries, p5_queries, p6_queries)
 
 
 def queries() -> dict:
