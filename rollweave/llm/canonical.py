@@ -210,7 +210,9 @@ def match_values(values: DataFrame, list_col: str, value_col: str, matchers: dic
     """
     distinct = cut(values.filter(F.col(value_col).isNotNull()).groupBy(list_col, value_col).agg(F.count(F.lit(1)).alias("__n")))
     exact_counts(distinct, list_col, value_col, "__n", matchers)
-    found = cut(distinct.select(list_col, value_col, match_column(values.sparkSession, F.col(list_col), F.col(value_col), matchers).alias("item_id")))
+    # looking up is the dearest step and its input is small: spread over all tasks
+    spread = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = cut(spread.select(list_col, value_col, match_column(values.sparkSession, F.col(list_col), F.col(value_col), matchers).alias("item_id")))
     return values.join(found, [list_col, value_col], "left").withColumn("item_id", F.coalesce("item_id", F.lit(0).cast("bigint")))
 
 
