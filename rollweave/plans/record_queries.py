@@ -152,7 +152,8 @@ def _people_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 def greedy_clusters(spark: SparkSession, sf: str) -> DataFrame:
     placed = resolve(cut(_people_claims(spark, sf))).select("source", "candidate_key", "member", "cluster_id").distinct()
-    return placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("source").alias("sources"))
+    first = F.min_by(F.struct("source", "candidate_key"), "member").alias("first")
+    return placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("source").alias("sources"), first).select("first.source", "first.candidate_key", "records", "sources")
 
 
 def pipeline_records(spark: SparkSession, sf: str) -> DataFrame:

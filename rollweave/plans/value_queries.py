@@ -350,6 +350,28 @@ lab(r, ent, c) AS (SELECT 0, ent, ent FROM e UNION ALL
  WHERE q.r < 15)
 SELECT ent AS rec_id, c AS cluster_id FROM lab WHERE r = 15""",
     }
+    sorted_name = lambda c: f"array_to_string(list_sort(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')), ' ')"
+    near = f"""w AS MATERIALIZED (SELECT DISTINCT f, n FROM e WHERE n <> '' AND f IS NOT NULL),
+near AS MATERIALIZED (SELECT a.f, a.n AS a, b.n AS b FROM w a JOIN w b ON a.f = b.f AND a.n < b.n AND levenshtein(a.n, b.n) <= 0.1 * (len(a.n) + len(b.n)) + 1e-9),
+alike AS MATERIALIZED (SELECT f, a, b FROM (SELECT *, {_LCS.format(a='a', b='b')} AS common FROM near) WHERE 200.0 * common / (len(a) + len(b)) >= 90)"""
+    out["fuzzy_block_join"] = f"""WITH e AS MATERIALIZED (SELECT nullif(lower(trim(current_company, ' ')), '') AS f, {sorted_name(_TITLE.format("trim(name, ' ')"))} AS n FROM recruiter), {near} SELECT f AS company, a, b FROM alike"""
+    ats_key = f"lower(trim(coalesce({strip('contact_email')}, {strip('applicant_name')}), ' '))"
+    sources = {"recruiter_csv": ("recruiter", "rec_id", key, "name", "email", "phone", "current_company", 0), "ats_json": ("ats", "ats_id", ats_key, "applicant_name", "contact_email", "contact_phone", "current_employer", 1)}
+    rows = " UNION ALL ".join(f"SELECT '{src}' AS source, {i} AS o, {row} AS row, {k} AS key, {strip(n)} AS name, {strip(m)} AS mail, {strip(p)} AS phone, {strip(c)} AS firm FROM {t}" for src, (t, row, k, n, m, p, c, i) in sources.items())
+    out["greedy_clusters"] = f"""WITH RECURSIVE r AS MATERIALIZED (SELECT * FROM ({rows}) WHERE key IS NOT NULL),
+y AS MATERIALIZED (SELECT source, key, min((o, row)) AS first, arg_min({_TITLE.format("trim(regexp_replace(name, '\\s+', ' ', 'g'))")}, row) FILTER (name IS NOT NULL) AS name, arg_min(lower(trim(firm, ' ')), row) FILTER (firm IS NOT NULL) AS f FROM r GROUP BY source, key),
+e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY first) AS ent, source, key, f, {sorted_name('name')} AS n FROM y),
+k AS MATERIALIZED (SELECT DISTINCT ent, kind, v FROM (SELECT e.ent, 'mail' AS kind, {_norm_email('mail')} AS v FROM r JOIN e USING (source, key) UNION ALL SELECT e.ent, 'phone', {_valid_us('phone')} FROM r JOIN e USING (source, key)) WHERE v IS NOT NULL),
+x AS MATERIALIZED (SELECT DISTINCT a.ent, b.ent AS before FROM k a JOIN k b ON a.kind = b.kind AND a.v = b.v AND b.ent < a.ent),
+{near},
+pair AS MATERIALIZED (SELECT f, a, b FROM alike UNION ALL SELECT f, b, a FROM alike UNION ALL SELECT f, n, n FROM w),
+seek AS MATERIALIZED (SELECT e.ent, o.ent AS before, e.f FROM e JOIN pair p ON p.f = e.f AND p.a = e.n JOIN e o ON o.f = e.f AND o.n = p.b AND o.ent < e.ent WHERE e.ent NOT IN (SELECT ent FROM x)),
+lab(r, ent, c) AS (SELECT 0, ent, ent FROM e UNION ALL
+ SELECT q.r + 1, q.ent, coalesce(h.c, z.c, q.ent) FROM lab q LEFT JOIN (SELECT x.ent, min(lab.c) AS c FROM x JOIN lab ON lab.ent = x.before GROUP BY x.ent) h ON h.ent = q.ent
+ LEFT JOIN (SELECT s.ent, arg_min(m.c, v.arrived) AS c FROM seek s JOIN lab m ON m.ent = s.before JOIN (SELECT e.f, lab.c, min(e.ent) AS arrived FROM e JOIN lab USING (ent) WHERE e.n <> '' AND e.f IS NOT NULL GROUP BY e.f, lab.c) v ON v.f = s.f AND v.c = m.c GROUP BY s.ent) z ON z.ent = q.ent
+ WHERE q.r < 20),
+g AS (SELECT c, count(*) AS records, count(DISTINCT source) AS sources FROM lab JOIN e USING (ent) WHERE r = 20 GROUP BY c)
+SELECT e.source, e.key AS candidate_key, records, sources FROM g JOIN e ON e.ent = g.c"""
     if known := _countries():
         lands, iso = known
         states = ", ".join(f"('{q(k)}', '{c}')" for k, c in {**T.US_STATES, **{c.lower(): c for c in T.US_STATES.values()}}.items())
