@@ -191,7 +191,7 @@ def name_scores(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("l", score(*[f"{c}_{e}" for e in "xy" for c in ("given", "surname", "short")])).select("*", "l.*").drop("l")
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=N.CACHE)
 def _name_score(ga: str, sa: str, ha: str | None, gb: str, sb: str, hb: str | None) -> tuple[float, float]:
     a, b = N.Name(ga, sa, ha or ""), N.Name(gb, sb, hb or "")
     name, loose = N.name_likeness(a, b), 0.0

@@ -7,6 +7,9 @@ import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
 
+#: Results that each look-up remembers; a worker lives long, and several of them share the memory of an executor.
+CACHE = 20_000
+
 #: Letters that decompose to no base letter (fixed values).
 _LETTERS = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss", "ı": "i", "đ": "d", "Đ": "D", "ð": "d", "þ": "th", "’": "'", "‘": "'"})
 
@@ -41,7 +44,7 @@ _QUOTED = re.compile(r"[“\"(«']\s*([^”\")»']+?)\s*[”\")»']")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHE)
 def parse_name(text: str | None, givens: frozenset[str] = frozenset()) -> Name | None:
     """Given name and surname of a name as typed; null if there aren't two words, or for a mailbox.
 
@@ -100,7 +103,7 @@ def _camel(word: str) -> list[str]:
     return [word]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHE)
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance with neighbouring swaps, within a band of ``most``; ``most + 1`` if it is greater."""
     if a == b:
@@ -131,7 +134,7 @@ def full_names(given: str) -> tuple[str, ...]:
     return NICKNAMES.get(given, ())
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHE)
 def given_likeness(a: str, b: str) -> float:
     """1 for the same given name or a short form of it, less for a slip, 0.5 for an initial, 0 for different names."""
     if not a or not b:
@@ -152,7 +155,7 @@ def given_likeness(a: str, b: str) -> float:
     return 0.0
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHE)
 def surname_likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -209,7 +212,7 @@ def mail_parts(text: str | None) -> tuple[str, str] | None:
 SHARED_BOX = frozenset("family info jobs office team contact hr mail home admin recruiting careers the".split())
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHE)
 def box_names(local: str, person: Name) -> float:
     """How far the local part of a mailbox names a person: 1 for given name and surname, 0.9 with slips, 0.8 for surname and initial, else 0."""
     tokens = [w for w in re.findall(r"[a-z]+", plain(local)) if w not in SHARED_BOX]
@@ -255,7 +258,7 @@ class Firm(NamedTuple):
     acronym: str  # not empty if only an acronym is given
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHE)
 def parse_firm(text: str | None) -> Firm | None:
     """Words of a firm's name without legal form, article and punctuation; null for placeholders. One joined word is given as it is."""
     if text is None:
@@ -289,7 +292,7 @@ def acronyms(words: tuple[str, ...]) -> set[str]:
     return {words[0][0] + rest, words[0][:2] + rest}
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHE)
 def firm_likeness(a: Firm, b: Firm) -> float:
     """1 for the same words, 0.9 for slips in them, 0.6 for an acronym, 0 for different firms."""
     if a.acronym or b.acronym:
