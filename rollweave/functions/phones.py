@@ -1,4 +1,4 @@
-"""Phone numbers in E.164, from a small numbering table; numbers of other countries are rejected."""
+"""Phone numbers in E.164, from a numbering table of 55 countries; numbers of other countries are rejected."""
 
 from __future__ import annotations
 
@@ -29,6 +29,18 @@ PLANS: dict[str, Plan] = {
 }
 PLANS["CA"] = PLANS["US"]
 
+#: Further plans, by lengths and first digits (code, trunk prefix, national number). Local numbers written in groups of digits are read only without a region to choose.
+_MORE: dict[str, tuple[str, str, str]] = {
+    "NL": ("31", "0", r"[1-9]\d{8}"), "BE": ("32", "0", r"[1-9]\d{7,8}"), "ES": ("34", "", r"[6-9]\d{8}"), "IT": ("39", "", r"(?:3\d{8,9}|0\d{5,10})"), "PT": ("351", "", r"[239]\d{8}"), "CH": ("41", "0", r"[2-9]\d{8}"), "AT": ("43", "0", r"[1-9]\d{6,12}"),
+    "SE": ("46", "0", r"[1-9]\d{6,9}"), "NO": ("47", "", r"[2-9]\d{7}"), "DK": ("45", "", r"[2-9]\d{7}"), "FI": ("358", "0", r"[1-9]\d{5,10}"), "PL": ("48", "", r"[1-9]\d{8}"), "CZ": ("420", "", r"[2-79]\d{8}"), "IE": ("353", "0", r"[1-9]\d{6,9}"),
+    "GR": ("30", "", r"[26]\d{9}"), "HU": ("36", "06", r"[1-9]\d{7,8}"), "RO": ("40", "0", r"[237]\d{8}"), "UA": ("380", "0", r"[3-9]\d{8}"), "RU": ("7", "8", r"[3489]\d{9}"), "TR": ("90", "0", r"[2-58]\d{9}"), "IL": ("972", "0", r"[2-9]\d{7,8}"),
+    "AE": ("971", "0", r"[2-9]\d{7,8}"), "SA": ("966", "0", r"[15]\d{8}"), "EG": ("20", "0", r"(?:1[0125]\d{8}|[2-9]\d{7,8})"), "ZA": ("27", "0", r"[1-8]\d{8}"), "NG": ("234", "0", r"(?:[7-9]\d{9}|[1-9]\d{6,7})"), "KE": ("254", "0", r"(?:[17]\d{8}|[2-6]\d{6,8})"),
+    "PK": ("92", "0", r"(?:3\d{9}|[2-9]\d{8,9})"), "BD": ("880", "0", r"(?:1[3-9]\d{8}|[2-9]\d{5,9})"), "LK": ("94", "0", r"[1-9]\d{8}"), "JP": ("81", "0", r"[1-9]\d{8,9}"), "KR": ("82", "0", r"[1-9]\d{7,9}"), "CN": ("86", "0", r"(?:1[3-9]\d{9}|[2-9]\d{8,10})"),
+    "HK": ("852", "", r"[2-9]\d{7}"), "TW": ("886", "0", r"[2-9]\d{7,8}"), "PH": ("63", "0", r"(?:9\d{9}|[2-8]\d{7,9})"), "MY": ("60", "0", r"[1-9]\d{7,9}"), "ID": ("62", "0", r"[2-9]\d{7,11}"), "TH": ("66", "0", r"[2-9]\d{7,8}"), "VN": ("84", "0", r"[2-9]\d{8,9}"),
+    "NZ": ("64", "0", r"[2-9]\d{7,9}"), "BR": ("55", "0", r"[1-9]{2}(?:9\d{8}|[2-5]\d{7})"), "MX": ("52", "", r"[2-9]\d{9}"), "AR": ("54", "0", r"9?[1-3]\d{9}"), "CL": ("56", "", r"[2-9]\d{8}"), "CO": ("57", "", r"(?:3\d{9}|60\d{8})"), "PE": ("51", "0", r"(?:9\d{8}|[1-8]\d{7})"),
+}
+PLANS |= {region: Plan(code, trunk, valid, ()) for region, (code, trunk, valid) in _MORE.items()}
+
 
 def _national(raw: str, region: str) -> str | None:
     """Valid national number of a text in a region."""

@@ -31,9 +31,15 @@ def _automaton(known: frozenset[str]):
     return a
 
 
+def lower_alike(text: str) -> str:
+    """Lower case of the same length: the few characters whose lower case is longer stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def fold(text: str) -> str:
     """Lower case with single blanks, of the same length where nothing is collapsed."""
-    return re.sub(r"\s+", " ", text.strip().lower())
+    return re.sub(r"\s+", " ", lower_alike(text.strip()))
 
 
 def _quoted(cell: str, i: int) -> int:
@@ -115,8 +121,8 @@ def segment(cell: str | None, known: frozenset[str]) -> list[str]:
     soft = [False, *(s for _, s in cuts)]  # whether the cut before atom k is soft
     n = len(starts)
     spans: dict[int, list[int]] = {}
-    auto, low = _automaton(known), t.lower()
-    if len(auto) and len(low) == len(t):
+    auto, low = _automaton(known), lower_alike(t)
+    if len(auto):
         first, last = {}, {}
         for k in range(n):
             piece = t[starts[k] : ends[k]]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollweave.functions.segmentation import fold, segment
@@ -20,14 +20,14 @@ def dictionary(values: DataFrame, column: str, most_chars: int = MOST_DICTIONARY
     return sorted(r[0] for r in values.select(F.col(column)).filter(F.col(column).isNotNull()).distinct().collect())
 
 
-def packed_values(cell: Column, known: list[str]) -> Column:
-    """Array of the values packed in ``cell``; empty for a null or blank cell. ``known`` are whole values that no delimiter may cut."""
-    folded = frozenset(fold(k) for k in known)
+def packed_values(spark: SparkSession, cell: Column, known: list[str]) -> Column:
+    """Array of the values packed in ``cell``; empty for a null or blank cell. ``known`` are whole values that no delimiter may cut; each executor gets them once."""
+    shared = spark.sparkContext.broadcast(frozenset(fold(k) for k in known))
 
     @F.pandas_udf("array<string>")
     def split(cells: pd.Series) -> pd.Series:
         memo: dict[str, list[str]] = {}
-        out = []
+        out, folded = [], shared.value
         for c in cells:
             if c is None or c != c:
                 out.append([])
@@ -43,5 +43,5 @@ def packed_values(cell: Column, known: list[str]) -> Column:
 def explode_packed(df: DataFrame, cell: str, known: list[str], keep: list[str], value: str = "value", pos: str = "pos") -> DataFrame:
     """``keep`` columns, ``pos`` (bigint, from 1) and ``value`` for each value of ``cell``; blank cells give no rows."""
     cells = df.filter(F.trim(F.coalesce(F.col(f"`{cell}`"), F.lit(""))) != "")
-    packed = cells.select(*[F.col(f"`{c}`") for c in keep], packed_values(F.col(f"`{cell}`"), known).alias("__values"))
+    packed = cells.select(*[F.col(f"`{c}`") for c in keep], packed_values(df.sparkSession, F.col(f"`{cell}`"), known).alias("__values"))
     return packed.select(*[F.col(f"`{c}`") for c in keep], F.posexplode("__values").alias("__pos", "__value")).select(*[F.col(f"`{c}`") for c in keep], (F.col("__pos") + 1).cast("bigint").alias(pos), F.col("__value").alias(value))

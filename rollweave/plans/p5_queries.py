@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollweave.functions.months import is_open_end, month_index, month_text
-from rollweave.operators.intervals import OPEN_END, merge_periods, period_gaps, row_periods
+from rollweave.operators.intervals import OPEN_END, merge_periods
 from rollweave.session import table
 
 TABLE = "candidates_combined_1ab46684"
@@ -20,18 +20,19 @@ def stint_months(stints: Column) -> Column:
     )
 
 
+def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stints = table(spark, sf_dir, TABLE).select("row_id", F.explode(stint_months(F.col("experience"))).alias("x")).select("row_id", "x.s", "x.e")
+    return merge_periods(stints, ["row_id"], "s", "e")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each gap of each row, in months."""
-    df = table(spark, sf_dir, TABLE).select("row_id", row_periods(stint_months(F.col("experience"))).alias("periods"))
-    gaps = df.select("row_id", F.explode(period_gaps(F.col("periods"))).alias("g"))
-    return gaps.select("row_id", month_text(F.col("g.s")).alias("gap_from"), month_text(F.col("g.e")).alias("gap_to"))
+    return _periods(spark, sf_dir).filter("gap_start IS NOT NULL").select("row_id", month_text(F.col("gap_start")).alias("gap_from"), month_text(F.col("gap_end")).alias("gap_to"))
 
 
 def p5_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each continuous period of each row; an open period has no last month."""
-    df = table(spark, sf_dir, TABLE).select("row_id", F.explode(stint_months(F.col("experience"))).alias("x")).select("row_id", "x.s", "x.e")
-    out = merge_periods(df, ["row_id"], "s", "e")
-    return out.select("row_id", "period_no", month_text(F.col("period_start")).alias("period_from"), F.when(F.col("period_end") < OPEN_END, month_text(F.col("period_end"))).alias("period_to"))
+    return _periods(spark, sf_dir).select("row_id", "period_no", month_text(F.col("period_start")).alias("period_from"), F.when(F.col("period_end") < OPEN_END, month_text(F.col("period_end"))).alias("period_to"))
 
 
 _STINTS = """

@@ -26,6 +26,7 @@ KNOWN = frozenset(map(fold, ["CI/CD", "PL/SQL", "Java", "Python", "Salt, pepper"
         ("CV (vision, sound), b", ["CV (vision, sound)", "b"]),
         ("a, salt, pepper, b", ["a", "salt, pepper", "b"]),
         ("ac; dc; b", ["ac; dc", "b"]),
+        ("İ, ac; dc; salt, pepper", ["İ", "ac; dc", "salt, pepper"]),
         ("Java/ Python", ["Java", "Python"]),
         ("Java/ else", ["Java/ else"]),
         ("it's, o'clock", ["it's", "o'clock"]),

@@ -44,6 +44,8 @@ def test_scalar_normalizers(spark):
 def test_phones():
     assert phones.normalize("(212) 555-1234") == "+12125551234" and phones.normalize("+15550101") is None and phones.normalize("abc") is None
     assert phones.normalize("+44 7911 123456") == "+447911123456" and phones.normalize("") is None and phones.normalize(None) is None
+    assert [phones.normalize(x) for x in ("+31 6 12345678", "+351 912 345 678", "+7 912 345-67-89", "+55 11 91234-5678", "+81 3-1234-5678", "+999 123456789")] == ["+31612345678", "+351912345678", "+79123456789", "+5511912345678", "+81312345678", None]
+    assert phones.normalize("0612345678", "NL") == "+31612345678" and phones.with_candidates("0612345678", ["nl"]) == ("+31612345678", "NL") and phones.with_candidates("06 1234 5678", ["NL"]) == (None, None)
     assert phones.with_candidates("07911 123456", ["GB"]) == ("+447911123456", "GB")
     assert phones.with_candidates("07911 123456", ["IN", "GB"]) == ("+447911123456", "GB")
     assert phones.with_candidates("98765 43210", ["IN"]) == ("+919876543210", None) or phones.with_candidates("9876543210", ["IN"])[0] == "+919876543210"
