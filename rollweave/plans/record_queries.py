@@ -161,6 +161,14 @@ def pipeline_records(spark: SparkSession, sf: str) -> DataFrame:
     return r.merged.golden.select("candidate_id", "full_name", F.size("emails").alias("emails"), F.size("phones").alias("phones"), F.size("skills").alias("skills"), "years_experience", "overall_confidence")
 
 
+def pipeline_output(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole pipeline over recruiters, applications and résumés: every projected record and what its validation says."""
+    docs = table(spark, sf, "documents").filter("doc_kind = 'resume'")
+    r = consolidate(_people_claims(spark, sf).unionByName(text_claims(docs, "text", F.col("doc_id"))), load_config("full"), AS_OF)
+    errors = r.errors.groupBy("candidate_id").agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("errors"))
+    return r.records.join(errors, "candidate_id", "left").select("candidate_id", "json", "errors")
+
+
 def resume_claims(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").filter("doc_kind = 'resume'")
     return text_claims(docs, "text", F.col("doc_id")).groupBy("field", "method").agg(F.count(F.lit(1)).alias("n"))
@@ -238,7 +246,7 @@ def record_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 _FUNCTIONS = (
     scalar_merge, list_merge_distinct, skill_merge, unpivot_claims, cell_split_explode, json_path_claims, normalize_email, rejections_log, phone_normalize, url_normalize, strip_markup, name_title, date_normalize, country_lookup, skill_lookup,
-    interval_union, years_fallback, exact_match_edges, fuzzy_block_join, connected_entities, greedy_clusters, pipeline_records, resume_claims, section_fill, entry_sessionize, lookback_context, priority_topk, record_confidence, record_id,
+    interval_union, years_fallback, exact_match_edges, fuzzy_block_join, connected_entities, greedy_clusters, pipeline_records, pipeline_output, resume_claims, section_fill, entry_sessionize, lookback_context, priority_topk, record_confidence, record_id,
     project_config, project_omit, validate_errors, null_field_counts, run_summary, record_bands,
 )
 

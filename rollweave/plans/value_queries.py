@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +15,12 @@ from rollweave.functions.text_fields import best_page, emails_in, known_terms, p
 from rollweave.operators.merge import merge
 from rollweave.operators.project import Config, error_text, project_json, project_struct, validation_errors
 from rollweave.operators.resolve import greedy_clusters, identity_keys, source_entities
-from rollweave.plans.record_queries import AS_OF, _golden, _norm_email, _STRIP, _TITLE, _GOLDEN, PEOPLE
-from rollweave.session import cut, table
+from rollweave.plans.pipeline import write_json_lines
+from rollweave.plans.record_queries import _GOLDEN, _STRIP, _TITLE, AS_OF, _date, _golden, _norm_email
+from rollweave.session import cut, ensure_checkpoint_dir, table
 from rollweave.sources.answers import answer_lists
-from rollweave.sources.ats import json_claims
-from rollweave.sources.csv import table_claims
+from rollweave.sources.ats import AtsSource, json_claims
+from rollweave.sources.csv import CsvSource, table_claims
 from rollweave.sources.documents import text_claims
 
 
@@ -216,8 +219,38 @@ def validate_values(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("row_id", F.explode(validation_errors(F.col("json"), strict)).alias("e")).select("row_id", error_text(F.col("e")).alias("message"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/files-{uuid.uuid4()}"
+
+
+def csv_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Recruiters written as delimited files with other headers, and read back as claims."""
+    path = _folder(spark)
+    r = table(spark, sf, "recruiter").select(F.col("name").alias("Full Name"), F.col("email").alias("Email"), F.col("phone").alias("Phone Number"), F.col("current_company").alias("Company"), F.col("title").alias("Job Title"))
+    r.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return CsvSource().read(spark, path).select("candidate_key", "field", F.col("value_text").alias("value"), "source")
+
+
+def json_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Applications written as documents of some two thousand records each, and read back as claims."""
+    path = _folder(spark)
+    a = table(spark, sf, "ats").select((F.col("ats_id") % F.lit(10_000_019) / 2000).cast("int").alias("doc"), F.struct("applicant_name", "contact_email", "contact_phone", "current_employer", "job_title").alias("r"))
+    a.groupBy("doc").agg(F.to_json(F.struct(F.collect_list("r").alias("candidates"))).alias("value")).write.partitionBy("doc").text(path)
+    return AtsSource().read(spark, path).select("candidate_key", "field", F.col("value_text").alias("value"), "source")
+
+
+def json_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Projected records written as JSON lines and read back."""
+    path = _folder(spark)
+    config = Config.of({"fields": [{"path": "id", "from": "candidate_id"}, {"path": "name", "from": "full_name"}, {"path": "mail", "from": "emails[0]"}], "include_confidence": False})
+    write_json_lines(project_json(_golden(spark, sf), config, ("row_id",)), path)
+    return spark.read.schema("id string, name string, mail string").json(path)
+
+
 _FUNCTIONS = (
-    text_normalize, line_clean, document_terms, user_names, contact_scan, profile_urls, readme_pages, spacing_repair, place_parts, place_parse, phone_regions, aliased_columns, entity_names, entity_keys, cluster_rule, merge_golden, merge_conflicts, merge_rejections, merge_nulls,
+    csv_files, json_files, json_lines, text_normalize, line_clean, document_terms, user_names, contact_scan, profile_urls, readme_pages, spacing_repair, place_parts, place_parse, phone_regions, aliased_columns, entity_names, entity_keys, cluster_rule, merge_golden, merge_conflicts, merge_rejections, merge_nulls,
     json_values, history_claims, place_claims, resume_values, answer_values, project_values, validate_values,
 )
 
@@ -281,10 +314,11 @@ m AS (SELECT DISTINCT c.key, g.name, title, firm, nc, nx, e.list AS emails, e.va
     keyed = ", ".join(f"('{k}', '{f}', {i})" for f, ks in flat.items() for i, k in enumerate(ks))
     only = lambda c: f"trim(regexp_replace(regexp_replace(coalesce({c}, ''), '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g'))"
     strip = lambda c: f"nullif({_STRIP.format(c)}, '')"
-    from rollweave.plans.record_queries import _date
-
     start, _ = _date("w.start_date")
     out = {
+        "csv_files": f"WITH {claims} SELECT key AS candidate_key, field, value, 'recruiter_csv' AS source FROM c",
+        "json_files": "WITH k AS (SELECT *, " + f"lower(trim(coalesce({strip('contact_email')}, {strip('applicant_name')}), ' '))" + " AS key FROM ats) " + " UNION ALL ".join(f"SELECT key AS candidate_key, '{f}' AS field, {strip(c)} AS value, 'ats_json' AS source FROM k WHERE key IS NOT NULL AND {strip(c)} IS NOT NULL" for c, f in (("applicant_name", "full_name"), ("contact_email", "emails"), ("contact_phone", "phones"), ("current_employer", "current_company"), ("job_title", "title"))),
+        "json_lines": f"WITH {_GOLDEN} SELECT candidate_id AS id, fn AS name, mail FROM g",
         "text_normalize": f"SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM (SELECT doc_id, {normal} AS t FROM documents)",
         "line_clean": "SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(regexp_replace(trim(l, ' '), '^\\s*[-*•·▪▫‣◦]+\\s*', ''), '\\s+', ' ', 'g'), ' ')), chr(10))) AS digest FROM documents",
         "document_terms": f"SELECT * FROM (SELECT doc_id, concat_ws('|', {terms}) AS terms FROM (SELECT doc_id, ' ' || lower(text) || ' ' AS low FROM documents)) WHERE terms <> ''",
