@@ -98,10 +98,10 @@ def test_alike_names_find_every_pair(spark):
     assert got == {(a, b) for a in set(words) for b in set(words) if a != b and lcs_ratio(a, b) >= 90}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local_edges", [0, 10**6])
+def test_components(spark, local_edges):
     rnd = random.Random(2)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(500, 501 + i) for i in range(50)]
-    got = {r["node"]: r["component"] for r in connected(spark.createDataFrame([*edges, (None, 1), (7, 7)], "a bigint, b bigint"), "a", "b").collect()}
     parent = {x: x for e in [*edges, (7, 7)] for x in e}
     changed = True
     while changed:
@@ -110,8 +110,12 @@ def test_components(spark):
             m = min(parent[a], parent[b])
             changed |= parent[a] != m or parent[b] != m
             parent[a] = parent[b] = m
+    many = spark.createDataFrame([*edges, *edges[:9], (None, 1), (1, None), (7, 7)], "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in connected(many, "a", "b", local_edges=local_edges).collect()}
     assert got == parent
-    assert connected(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
+    assert connected(spark.createDataFrame([], "a bigint, b bigint"), "a", "b", local_edges=local_edges).count() == 0
+    named = connected(spark.createDataFrame([("é", "z"), ("b", "é"), ("x", "y")], "a string, b string"), "a", "b", local_edges=local_edges)
+    assert {r["node"]: r["component"] for r in named.collect()} == {"é": "b", "z": "b", "b": "b", "x": "x", "y": "x"}
 
 
 CSV = "Candidate Name,Email Address,Mobile,Company,Position,Tech Stack,Ignored\nAda Poe,ada@x.org,(212) 555-0147,Acme,Engineer,\"Python; React | AWS\",z\nBo Lee,,,Bolt,,,\n,,+15550101,Acme,Engineer,,\nCy Fox,not-a-mail,12,Acme,Lead,,\n"
