@@ -14,7 +14,7 @@ All thresholds are shares or likenesses; none is a count that the same rows woul
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,22 +115,23 @@ def blocks(nodes: DataFrame) -> DataFrame:
     return keyed.select("kind", "block", "node", *name, F.when(able, F.xxhash64("block", "surname")).alias("line"), F.when(able, F.xxhash64("block", "surname", "given", F.coalesce("short", F.lit("")))).alias("face"))
 
 
-def alike_surnames(faces: DataFrame, kinds: list[str], k: int) -> DataFrame:
-    """Pairs ``x``, ``y`` of different surnames of one block (``line`` numbers) within ``k`` edits and of one first letter, each pair once.
+def alike_surnames(faces: DataFrame) -> DataFrame:
+    """Pairs ``x``, ``y`` of different surnames of one block (``line`` numbers) within the edits of its kind and of one first letter, each pair once.
 
     This is the pigeonhole segment join: the ``k + 1`` segments of a surname are looked up, in an inverted index over (block, segment),
     among the shifted substrings of the longer ones, and what meets is verified by a banded edit distance. Only numbers are shuffled.
     """
-    of = faces.filter(F.col("kind").isin(*kinds)).select("block", "line", "surname", F.substring("surname", 1, 1).alias("head")).distinct()
+    kinds = ((F.col("kind") != "name", LINE_EDITS), (F.col("kind") == "name", FIRM_EDITS))
+    of = faces.select("kind", "block", "line", "surname", F.substring("surname", 1, 1).alias("head")).distinct()
     # a block with one surname has no pairs
     crowd = of.groupBy("block", "head").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("block", "head")
     of = cut(of.join(crowd.hint("merge"), ["block", "head"], "left_semi"))
     within = F.xxhash64("block", "head")
-    index = of.select("line", F.explode(index_hashes(F.col("surname"), k, within)).alias("seg")).select("seg", F.col("line").alias("x"))
-    probe = of.select("line", F.explode(probe_hashes(F.col("surname"), k, within)).alias("seg")).select("seg", F.col("line").alias("y"))
-    met = probe.join(index.hint("shuffle_hash"), "seg").filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    text = lambda e: of.select(F.col("line").alias(e), F.col("surname").alias(f"s{e}"))
-    return met.join(text("x"), "x").join(text("y"), "y").filter(F.levenshtein("sx", "sy", k) >= 0).select("x", "y")
+    keys = lambda make, e: reduce(DataFrame.unionByName, [of.filter(which).select(F.col("line").alias(e), F.explode(make(F.col("surname"), k, within)).alias("seg")) for which, k in kinds])
+    met = keys(probe_hashes, "y").join(keys(index_hashes, "x").hint("shuffle_hash"), "seg").filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    text = lambda e: of.select(F.col("line").alias(e), F.col("surname").alias(f"s{e}"), *(["kind"] if e == "x" else []))
+    far = F.when(F.col("kind") == "name", F.levenshtein("sx", "sy", FIRM_EDITS)).otherwise(F.levenshtein("sx", "sy", LINE_EDITS))
+    return met.join(text("x"), "x").join(text("y"), "y").filter(far >= 0).select("x", "y")
 
 
 def candidate_edges(nodes: DataFrame, across: bool) -> DataFrame:
@@ -148,7 +149,7 @@ def candidate_edges(nodes: DataFrame, across: bool) -> DataFrame:
     named = held.filter("face IS NOT NULL")
     bear = (F.max(F.col("side") == 0).alias("on0"), F.max(F.col("side") == 1).alias("on1"), F.count(F.lit(1)).alias("m"))
     faces = cut(named.groupBy("kind", "block", "n", "line", "face", "surname", "given", "short").agg(*bear))
-    apart = alike_surnames(faces, ["phone", "mail"], LINE_EDITS).unionByName(alike_surnames(faces, ["name"], FIRM_EDITS))
+    apart = alike_surnames(faces)
 
     def side(e: str) -> DataFrame:
         return faces.select(F.col("line").alias(e), F.col("face").alias(f"f{e}"), *[F.col(c).alias(f"{c}_{e}") for c in ("given", "surname", "short", "on0", "on1", "m")], *(["kind", "n"] if e == "x" else []))
@@ -307,6 +308,7 @@ def _refine(kept: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame]:
     weak = cut(links.filter("weak").select("node", "other", "u", "v", "og", "os"))
     # names that the neighbours of an end of a weak edge bear
     borne = cut(links.filter(~F.col("weak") & F.col("os").isNotNull()).join(weak.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "og", "os").distinct())
+    blank = lambda kind: F.lit(None).cast(kind)
     told = cut(known.limit(0))
     backed, n_backed = cut(weak.select("u", "v").limit(0)), 0
     for hop in range(1, most_rounds + 1):
@@ -316,12 +318,14 @@ def _refine(kept: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame]:
         votes = votes.filter(F.col("g").isNull() | (F.substring("g", 1, 1) == F.substring("name_g", 1, 1)) | (F.col("name_l") > 0))
         by = votes.groupBy("node", "name_g", "name_s").agg(F.sum(F.col("trust") * (F.col("weight") + 6 * F.col("box"))).alias("w"))
         best = by.groupBy("node").agg(F.max_by(F.struct("name_g", "name_s"), F.struct("w", "name_s", "name_g")).alias("b"))
-        new = cut(best.select("node", F.col("b.name_g").alias("name_g"), F.col("b.name_s").alias("name_s"), F.lit(0.8**hop).alias("trust")))
-        told = told.unionByName(new)
+        new = best.select("node", F.col("b.name_g").alias("name_g"), F.col("b.name_s").alias("name_s"), blank("bigint").alias("u"), blank("bigint").alias("v"))
         more = weak.join(backed.hint("merge"), ["u", "v"], "left_semi").select("node", "og", "os")
-        backed = cut(weak.join(borne.unionByName(more).hint("merge"), ["node", "og", "os"], "left_semi").select("u", "v").distinct())
-        before, n_backed = n_backed, backed.count()
-        if n_backed == before and new.isEmpty():
+        held = weak.join(borne.unionByName(more).hint("merge"), ["node", "og", "os"], "left_semi").select("u", "v").distinct()
+        both = cut(new.unionByName(held.select(blank("bigint").alias("node"), blank("string").alias("name_g"), blank("string").alias("name_s"), "u", "v")))
+        told = told.unionByName(both.filter("node IS NOT NULL").select("node", "name_g", "name_s", F.lit(0.8**hop).alias("trust")))
+        backed = both.filter("node IS NULL").select("u", "v")
+        before, (n_new, n_backed) = n_backed, both.agg(F.count("node"), F.count("u")).first()
+        if n_backed == before and not n_new:
             break
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
