@@ -15,7 +15,7 @@ from rollweave.functions.text_fields import best_page, emails_in, known_terms, p
 from rollweave.operators.merge import merge
 from rollweave.operators.project import Config, error_text, project_json, project_struct, validation_errors
 from rollweave.operators.resolve import greedy_clusters, identity_keys, source_entities
-from rollweave.plans.pipeline import write_json_lines
+from rollweave.plans.pipeline import consolidate, write_json_lines
 from rollweave.plans.record_queries import _GOLDEN, _STRIP, _TITLE, AS_OF, _date, _golden, _norm_email
 from rollweave.session import cut, ensure_checkpoint_dir, table
 from rollweave.sources.answers import answer_lists
@@ -140,6 +140,13 @@ def merge_nulls(spark: SparkSession, sf: str) -> DataFrame:
     return _merged(spark, sf).null_fields
 
 
+def run_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Summary of a run over names and titles alone, which share no key, so every record stays alone."""
+    config = Config.of({"fields": [{"path": "name", "from": "full_name"}, {"path": "headline", "from": "headline"}], "include_confidence": False})
+    told = consolidate(_rec_claims(spark, sf).filter("field IN ('full_name', 'title')"), config, AS_OF).summary()
+    return spark.createDataFrame([{k: v for k, v in told.items() if isinstance(v, int)}])
+
+
 def json_values(spark: SparkSession, sf: str) -> DataFrame:
     """Every claim of every delivered line with a value that isn't nested."""
     r = table(spark, sf, "ats_raw").filter("payload NOT LIKE '%{%{%'")
@@ -250,7 +257,7 @@ def json_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    csv_files, json_files, json_lines, text_normalize, line_clean, document_terms, user_names, contact_scan, profile_urls, readme_pages, spacing_repair, place_parts, place_parse, phone_regions, aliased_columns, entity_names, entity_keys, cluster_rule, merge_golden, merge_conflicts, merge_rejections, merge_nulls,
+    csv_files, json_files, json_lines, text_normalize, line_clean, document_terms, user_names, contact_scan, profile_urls, readme_pages, spacing_repair, place_parts, place_parse, phone_regions, aliased_columns, entity_names, entity_keys, cluster_rule, merge_golden, merge_conflicts, merge_rejections, merge_nulls, run_counts,
     json_values, history_claims, place_claims, resume_values, answer_values, project_values, validate_values,
 )
 
@@ -341,6 +348,8 @@ SELECT key AS cluster_id, sha256(coalesce(mail, CASE WHEN name IS NOT NULL OR fi
         "merge_conflicts": f"WITH {parts} SELECT key AS cluster_id, field, 'recruiter_csv' AS sources, 'recruiter_csv' AS chosen FROM s WHERE conflict",
         "merge_rejections": f"WITH {claims}, {norm} SELECT key AS cluster_id, field, value, 'normalization_failed' AS reason, 'recruiter_csv' AS source FROM n WHERE field IN ('emails', 'phones') AND norm IS NULL",
         "merge_nulls": f"WITH {parts}, {golden} SELECT key AS cluster_id, unnest(list_filter([CASE WHEN name IS NULL THEN 'full_name' END, CASE WHEN title IS NULL THEN 'headline' END, 'years_experience', CASE WHEN emails IS NULL THEN 'emails' END, CASE WHEN phones IS NULL THEN 'phones' END, 'skills'], lambda x: x IS NOT NULL)) AS field FROM m",
+        "run_counts": f"""WITH {claims}, b AS (SELECT * FROM c WHERE field IN ('full_name', 'title')), n AS (SELECT *, CASE field WHEN 'full_name' THEN {titled} ELSE value END AS norm FROM b), s AS (SELECT key, field, count(DISTINCT norm) AS d FROM n GROUP BY key, field), r AS (SELECT key, count(*) AS held FROM s GROUP BY key)
+SELECT (SELECT count(*) FROM b) AS claims, (SELECT count(*) FROM r) AS records, (SELECT count(*) FROM s WHERE d > 1) AS conflicts_found, 0 AS rejections, (SELECT CAST(sum(6 - held) AS BIGINT) FROM r) AS null_fields, 0 AS validation_errors""",
         "json_values": f"""WITH known(k, field, place) AS (VALUES {keyed}), r AS (SELECT row_number() OVER () AS id, file_no * 1000 + line_no AS line, payload FROM ats_raw WHERE payload NOT LIKE '%{{%{{%' AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
 p AS (SELECT id, line, payload, unnest(json_keys(payload)) AS k FROM r), x AS (SELECT id, line, field, place, json_extract(payload, '$."' || k || '"') AS x FROM p JOIN known USING (k)),
 t AS (SELECT id, line, field, place, unnest(CASE json_type(x) WHEN 'ARRAY' THEN x ->> '$[*]' WHEN 'NULL' THEN []::VARCHAR[] ELSE CASE field WHEN 'skills' THEN regexp_split_to_array(x ->> '$', '[,;|]') ELSE [x ->> '$'] END END) AS v FROM x),
@@ -406,6 +415,20 @@ lab(r, ent, c) AS (SELECT 0, ent, ent FROM e UNION ALL
  WHERE q.r < 20),
 g AS (SELECT c, count(*) AS records, count(DISTINCT source) AS sources FROM lab JOIN e USING (ent) WHERE r = 20 GROUP BY c)
 SELECT e.source, e.key AS candidate_key, records, sources FROM g JOIN e ON e.ent = g.c"""
+    # without look-around: what stands before and after a new blank is matched and put back
+    text = "trim(regexp_replace(concat_ws(' ,', applicant_name, job_title, skills_list), '\\s+', ' ', 'g'))"
+    text = f"regexp_replace({text}, '([a-z])([A-Z][a-z]|(?:AI|API|REST|React|Expo)\\b)', '\\1 \\2', 'g')"
+    steps = [f"p0 AS MATERIALIZED (SELECT ats_id, {text} AS t FROM ats)"]
+    swaps = [(f"([a-z]{{4}})({w}(?:[a-z]|-|$))", "\\1 \\2") for w in T.JOINED_WORDS] + [(escaped(a), q(b)) for a, b in T.JOINED_TEXTS.items()]
+    for i in range(0, len(swaps), 12):
+        t = "t"
+        for pattern, to in swaps[i : i + 12]:
+            t = f"regexp_replace({t}, '{pattern}', '{to}', 'gi')"
+        steps.append(f"p{i // 12 + 1} AS MATERIALIZED (SELECT ats_id, {t} AS t FROM p{i // 12})")
+    last = f"p{len(steps) - 1}"
+    out["spacing_repair"] = f"""WITH {", ".join(steps)}, j AS (SELECT ats_id, CASE WHEN regexp_matches(p0.t, '[A-Za-z]{{12}}') THEN l.t ELSE p0.t END AS t FROM p0 JOIN {last} l USING (ats_id)),
+k AS (SELECT ats_id, regexp_replace(regexp_replace(t, '\\bReact based\\b', 'React-based', 'gi'), '\\bAI driven\\b', 'AI-driven', 'gi') AS t FROM j)
+SELECT ats_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(t, '([,;:])([A-Za-z])', '\\1 \\2', 'g'), '\\s+([,.;:])', '\\1', 'g'), '\\s+', ' ', 'g')), '') AS text FROM k"""
     if known := _countries():
         lands, iso = known
         states = ", ".join(f"('{q(k)}', '{c}')" for k, c in {**T.US_STATES, **{c.lower(): c for c in T.US_STATES.values()}}.items())
