@@ -35,3 +35,9 @@ def cut(df: DataFrame) -> DataFrame:
     del df
     gc.collect()
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the plans, broadcasts and shuffle files of finished steps now; Spark's cleaner acts on what the collector finds, which may be late in a query of many steps."""
+    gc.collect()
+    spark._jvm.System.gc()
