@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rollweave.llm import names as N
 from rollweave.functions.segments import index_hashes, probe_hashes
-from rollweave.session import cut
+from rollweave.session import cut, release
 
 #: Edits between two surnames that the segment join finds on a line or mailbox, and where a firm alone is shared. A swap of neighbours
 #: counts as two here and as one when names are scored, so these are one above what scoring accepts.
@@ -269,6 +269,7 @@ def linked(nodes: DataFrame, across: bool, most_rounds: int = 60) -> DataFrame:
         F.col("firm_l").alias("firm_l"), F.col("pu.given").alias("gu"), F.col("pv.given").alias("gv"), F.col("pu.surname").alias("su"), F.col("pv.surname").alias("sv"), F.col("pu.short").alias("hu"), F.col("pv.short").alias("hv"),
     )
     kept = cut(kept)
+    release(kept.sparkSession)
     told, backed = _refine(kept, most_rounds)
     final = kept.join(backed.withColumn("backed", F.lit(True)), ["u", "v"], "left").filter(~F.col("weak") | F.col("backed"))
     for e in ("u", "v"):

@@ -31,6 +31,8 @@ NICKNAMES: dict[str, tuple[str, ...]] = {
 
 def plain(text: str) -> str:
     """Text without accents, in lower case."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text.translate(_LETTERS)) if not unicodedata.combining(c)).lower()
 
 
@@ -85,7 +87,7 @@ def parse_name(text: str | None, givens: frozenset[str] = frozenset()) -> Name |
 
 
 def _words(text: str) -> list[str]:
-    text = unicodedata.normalize("NFC", text)
+    text = text if text.isascii() else unicodedata.normalize("NFC", text)
     found = [(m[0], text[m.end() : m.end() + 1]) for m in _WORD.finditer(text)]
     out = []
     for k, (w, after) in enumerate(found):
