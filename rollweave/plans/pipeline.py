@@ -37,6 +37,20 @@ def list_configs(folder: str = CONFIGS) -> list[dict]:
     return out
 
 
+#: Endings of the files that each kind of source reads, and the folder below, if any, where they lie.
+SAMPLES: dict[str, tuple[str, tuple[str, ...]]] = {"csv": ("", (".csv",)), "ats": ("", (".json",)), "github": ("", (".txt",)), "resumes": ("resumes", (".pdf", ".docx"))}
+
+
+def list_samples(folder: str) -> dict[str, list[dict[str, str]]]:
+    """``name`` and ``path`` of the source files in a folder, by kind of source and name; no kinds for a folder that isn't there."""
+    out: dict[str, list[dict[str, str]]] = {}
+    for kind, (below, endings) in SAMPLES.items() if os.path.isdir(folder) else ():
+        here = os.path.join(folder, below) if below else folder
+        names = sorted(os.listdir(here)) if os.path.isdir(here) else []
+        out[kind] = [{"name": n, "path": os.path.join(here, n)} for n in names if n.endswith(endings)]
+    return out
+
+
 @dataclass
 class Result:
     """Lazy tables of one run. ``records`` has ``candidate_id`` and ``json``."""

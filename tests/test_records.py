@@ -12,11 +12,12 @@ from rollweave.operators.components import connected
 from rollweave.operators.merge import years_of
 from rollweave.operators.project import Config, confidence_band, path_get, project_json, project_struct, validation_errors
 from rollweave.operators.resolve import alike_names, greedy_clusters, lcs_ratio
-from rollweave.plans.pipeline import list_configs, load_config, read_sources, run
+from rollweave.plans.pipeline import list_configs, list_samples, load_config, read_sources, run
 from rollweave.sources.ats import AtsSource, json_claims
 from rollweave.sources.csv import CsvSource
 from rollweave.sources.answers import agreed_place, parse_answer
 from rollweave.sources.documents import docx_text, model_claims, text_claims
+from rollweave.sources.models import ChatRoute, chain, read_settings, routes_of
 from rollweave.sources.profiles import user_claims
 
 
@@ -248,6 +249,30 @@ def test_answers(spark):
     assert agreed_place({}, pune, p) == pune and agreed_place(None, None, p) is None and agreed_place({"full": "Delhi, India"}, None, p) == ("Delhi", None, "IN") and agreed_place({"city": "Delhi", "region": "IN"}, None, p) == ("Delhi", None, "IN")
 
 
+def test_model_routes(tmp_path):
+    (tmp_path / ".env").write_text('# a\n\nMODEL_URL="http://a.test"\nMODEL_NAME = one\nMODEL_TOKEN=\'t\'\nbroken\nMODEL2_URL=http://b.test\nMODEL2_TIMEOUT=5\nHELD=file\n', encoding="utf-8-sig")
+    settings = read_settings([str(tmp_path / "none"), str(tmp_path / ".env")], {"HELD": "env"})
+    routes = routes_of(settings)
+    assert routes == [ChatRoute("http://a.test", "one", "t"), ChatRoute("http://b.test", "", "", 5.0)] and settings["HELD"] == "env" and routes_of({}) == []
+    asked = []
+
+    def post(url, headers, body, timeout):
+        asked.append((url, headers.get("Authorization"), json.loads(body)["messages"][1]["content"], timeout))
+        return (503, '{"error": {"message": "busy"}}') if url.startswith("http://a") else (200, '{"choices": [{"message": {"content": "{}"}}]}')
+
+    assert chain(routes, post)("hi") == "{}" and asked == [("http://a.test", "Bearer t", "hi", 90.0), ("http://b.test", None, "hi", 5.0)]
+    for said, answer in ((503, '{"error": {"message": "busy"}}'), (500, '{"error": "down"}'), (404, "gone"), (200, "[]")):
+        with pytest.raises(RuntimeError, match="busy|down|gone|choice"):
+            chain(routes[:1], lambda *a: (said, answer))("x")  # noqa: B023
+    with pytest.raises(RuntimeError, match="no route"):
+        chain([])("x")
+    (tmp_path / "resumes").mkdir()
+    for f in ("b.csv", "a.csv", "x.json", "resumes/r.pdf", "resumes/n.md"):
+        (tmp_path / f).write_text("")
+    assert {k: [x["name"] for x in v] for k, v in list_samples(str(tmp_path)).items()} == {"csv": ["a.csv", "b.csv"], "ats": ["x.json"], "github": [], "resumes": ["r.pdf"]}
+    assert list_samples(str(tmp_path / "none")) == {}
+
+
 def test_docx_and_profiles(spark):
     import base64
     import io
