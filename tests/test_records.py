@@ -288,7 +288,7 @@ def test_docx_and_profiles(spark):
     saved["/users/plain/repos?per_page=100"] = [{"language": "Go", "fork": False}] * 100
     saved["/users/plain/repos?per_page=100&page=2"] = [{"language": "Rust", "fork": False}]
     saved["/repos/plain/plain/readme"] = {"encoding": "none", "download_url": "https://raw.test/plain"}
-    saved["https://raw.test/plain"] = "# Hi there\nI build small looms for large rooms.\nBased in Austin, TX\nhttps://plain.github.io/"
+    saved["https://raw.test/plain"] = "# Hi there\nI build small looms for large rooms.\nBased in: Austin, TX\nhttps://plain.github.io/"
     users = spark.createDataFrame([("octo",), ("https://github.com/octo",), ("nobody",), ("plain",)], "u string")
     got = {(r["candidate_key"], r["field"], r["value_text"], r["source"]) for r in user_claims(users, "u", saved.get).collect()}
     octo = {("octo cat", f, v, s) for f, v, s in (("full_name", "Octo Cat", "github_api"), ("location.region", "TX", "github_api"), ("current_company", "Acme", "github_api"), ("skills", "Go", "github_api"), ("skills", "Docker", "github_readme_regex"))}
