@@ -99,6 +99,7 @@ def blocks(nodes: DataFrame) -> DataFrame:
 
     A block is a phone line, a mailbox, or firm letters with an initial (a node with several initials is in several); those of the
     last kind hold named nodes only. ``face`` numbers the name in the block, ``line`` the surname in it; both are null without a name.
+    ``twin`` is equal for nodes of a face that nothing of the block's kind tells apart.
     """
 
     @F.pandas_udf("array<string>")
@@ -108,11 +109,12 @@ def blocks(nodes: DataFrame) -> DataFrame:
     named = nodes.filter("surname IS NOT NULL AND (firm IS NOT NULL OR acronym IS NOT NULL)")
     by_firm = named.select("node", F.explode(codes("given", "short", "firm", "acronym")).alias("key"))
     name = ("side", "given", "surname", "short")
-    held = nodes.select("node", *name, F.explode(F.array(F.struct(F.lit("phone").alias("kind"), F.col("phone").alias("key")), F.struct(F.lit("mail").alias("kind"), F.col("local").alias("key")))).alias("k")).filter("k.key IS NOT NULL").select("k.kind", "k.key", "node", *name)
-    both = held.unionByName(by_firm.join(nodes.select("node", *name), "node").select(F.lit("name").alias("kind"), "key", "node", *name))
+    one = lambda kind, key, twin: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.coalesce(twin, F.lit("")).alias("twin"))
+    held = nodes.select("node", *name, F.explode(F.array(one("phone", "phone", F.lit("")), one("mail", "local", F.col("host")))).alias("k")).filter("k.key IS NOT NULL").select("k.*", "node", *name)
+    both = held.unionByName(by_firm.join(nodes.select("node", *name, F.concat_ws("|", "firm", "acronym").alias("twin")), "node").select(F.lit("name").alias("kind"), "key", "twin", "node", *name))
     keyed = both.withColumn("block", F.xxhash64("kind", "key"))
     able = F.col("surname").isNotNull()
-    return keyed.select("kind", "block", "node", *name, F.when(able, F.xxhash64("block", "surname")).alias("line"), F.when(able, F.xxhash64("block", "surname", "given", F.coalesce("short", F.lit("")))).alias("face"))
+    return keyed.select("kind", "block", "node", "twin", *name, F.when(able, F.xxhash64("block", "surname")).alias("line"), F.when(able, F.xxhash64("block", "surname", "given", F.coalesce("short", F.lit("")))).alias("face"))
 
 
 def alike_surnames(faces: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ def candidate_edges(nodes: DataFrame, across: bool) -> DataFrame:
     def side(e: str) -> DataFrame:
         return faces.select(F.col("line").alias(e), F.col("face").alias(f"f{e}"), *[F.col(c).alias(f"{c}_{e}") for c in ("given", "surname", "short", "on0", "on1", "m")], *(["kind", "n"] if e == "x" else []))
 
-    same = side("x").join(side("y").withColumnRenamed("y", "x"), "x").filter("fx < fy OR fx = fy AND m_x > 1").drop("x")
+    same = side("x").join(side("y").withColumnRenamed("y", "x"), "x").filter("fx < fy OR fx = fy AND m_x > 1" if across else "fx < fy").drop("x")
     meet = same.unionByName(side("x").join(apart, "x").join(side("y"), "y").drop("x", "y"))
     if across:
         meet = meet.filter("on0_x AND on1_y OR on1_x AND on0_y")
@@ -166,7 +168,8 @@ def candidate_edges(nodes: DataFrame, across: bool) -> DataFrame:
         turned = cut(alike.unionByName(alike.filter("fx <> fy").select("kind", "n", F.col("fy").alias("fx"), F.col("fx").alias("fy"), "name_l", "loose")))
         told = turned.join(ends("x", 0), "fx").join(ends("y", 1), "fy").select(F.col("x").alias("u"), F.col("y").alias("v"), *what)
     else:
-        told = alike.join(ends("x", None), "fx").join(ends("y", None), "fy").filter("fx <> fy OR x < y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), *what).filter("u <> v")
+        told = alike.join(ends("x", None), "fx").join(ends("y", None), "fy").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), *what).filter("u <> v")
+        told = told.unionByName(_twins(named))
     bare = held.filter("face IS NULL").select("block", "kind", "n", F.col("node").alias("x"), F.col("side").alias("sx"))
     other = held.select("block", F.col("node").alias("y"), F.col("side").alias("sy"), F.col("face").isNull().alias("bare_y"))
     star = bare.join(other, "block").filter("sx <> sy" if across else "x <> y").filter("NOT bare_y OR x < y" if not across else "NOT bare_y OR sx = 0")
@@ -178,6 +181,19 @@ def candidate_edges(nodes: DataFrame, across: bool) -> DataFrame:
     return every.groupBy("u", "v").agg(*[F.max(F.when(F.col("kind") == k, weight)).alias(f"{k}_w") for k in ("phone", "mail")], F.max("name_l").alias("name_l"), F.coalesce(F.max("loose"), F.lit(0.0)).alias("loose"))
 
 
+def _twins(named: DataFrame) -> DataFrame:
+    """Pairs of nodes of one name in one block, as ``candidate_edges`` has them, enough to connect what their pairs would.
+
+    Twins with a full name are all tied to the least of them, since any two of them are one person by that name; of different twins the
+    least ones meet. Initials meet one by one, since neighbours may tell them different names.
+    """
+    of = named.select("kind", "n", "face", "node", F.when(F.length("given") > 1, F.col("twin")).otherwise(F.col("node").cast("string")).alias("twin"))
+    least = of.groupBy("kind", "n", "face", "twin").agg(F.min("node").alias("u"))
+    star = of.join(least, ["kind", "n", "face", "twin"]).filter("node <> u").select("kind", "n", "u", F.col("node").alias("v"))
+    heads = least.join(least.select("face", F.col("u").alias("v")), "face").filter("u < v").select("kind", "n", "u", "v")
+    return star.unionByName(heads).select("u", "v", "kind", "n", F.lit(1.0).alias("name_l"), F.lit(0.0).alias("loose"))
+
+
 def _name(given: str | None, surname: str | None, short: str | None) -> N.Name | None:
     return N.Name(given, surname, short or "") if surname else None
 

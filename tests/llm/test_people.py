@@ -146,6 +146,19 @@ def test_large_classes_link_alike_given_names(spark, across):
     assert full == {e for e in got if min(len(plain[e[0]][0]), len(plain[e[1]][0])) > 1}
 
 
+def test_namesakes_of_one_firm_are_tied_without_all_pairs(spark):
+    rows = [(k % 2, k, "Ann Kalovric", f"box{k}@a.example" if k % 3 else None, f"411 555 {k:04d}", ("Krydo Marine", "KRYDO Marine Corp", "Krydo Marnie", "KRM")[k % 4]) for k in range(300)]
+    rows += [(0, 900, "A. Kalovric", None, "411 555 0007", None), (1, 901, "Ann Kalovric", None, "411 777 0000", "Other Textiles")]
+    table = people(spark, rows)
+    nodes = profiles(table).select("node", "side", "p")
+    edges = linked(nodes, across=False)
+    assert nodes.count() == 302 and edges.count() < 5 * 300
+    groups = {}
+    for r in person_groups(table).collect():
+        groups.setdefault(r["spelling"], set()).add(r["component"])
+    assert len(groups["Ann Kalovric"]) == 2 and groups["A. Kalovric"] < groups["Ann Kalovric"]
+
+
 def test_repeats_tell_slips_from_surnames(spark):
     # one surname that comes again as often as the other isn't its slip, however many rows there are
     for m in (1, 6):
