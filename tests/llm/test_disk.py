@@ -5,6 +5,7 @@ from urllib.parse import urlparse
 from pyspark.sql import functions as F
 
 from rollweave.llm.linkage import ATTRIBUTES, candidate_edges, linked, profile, profiles
+from rollweave.operators.components import connected
 from rollweave.session import ensure_checkpoint_dir, store
 
 
@@ -50,3 +51,11 @@ def test_what_is_stored_can_be_dropped(spark):
     path = Path(urlparse(one.stored_at).path)
     two = store(one.filter("id > 10"), one)
     assert two.count() == 989 and not path.exists() and Path(urlparse(two.stored_at).path).exists()
+
+
+def test_components_drop_their_rounds(spark):
+    edges = store(spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    before = held(spark)
+    assert {r["component"] for r in connected(edges, "a", "b", local_edges=0).collect()} == {0}
+    # no more than the last labels
+    assert held(spark) - before < 100_000
