@@ -42,11 +42,11 @@ def _buckets(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.pmod(F.xxhash64(w), F.lit(BITS)).cast("int")))
 
 
-def file_schemas(df: DataFrame, feed: str, file: str, order: str, payload: str, deep: bool = False) -> DataFrame:
+def file_schemas(df: DataFrame, feed: str, file: str, order: str, payload: str, deep: bool = True) -> DataFrame:
     """One row per file: ``feed``, ``file``, ``order``, ``fields`` (sorted by key) and ``signature``, a text equal for equal schemas.
 
-    A field has its key, JSON type ('' if only nulls were seen), with ``deep`` the full nested type (else ''), and a bit signature of the
-    words of its values. Lines that aren't JSON objects, or are null, are left out; a file without any object has no row.
+    A field has its key, JSON type ('' if only nulls were seen), the full type of what is nested in it, over all lines of the file (''
+    without ``deep``, then schemas are compared by their top level alone), and a bit signature of the words of its values. Lines that aren't JSON objects, or are null, are left out; a file without any object has no row.
     """
     v = df.select(F.col(feed).alias("feed"), F.col(file).alias("file"), F.col(order).alias("at"), F.try_parse_json(F.col(payload)).alias("v"))
     v = v.filter(F.schema_of_variant("v").startswith("OBJECT"))
@@ -54,17 +54,19 @@ def file_schemas(df: DataFrame, feed: str, file: str, order: str, payload: str,
     kv = kv.withColumn("type", _json_type(F.schema_of_variant("value")))
     whole = F.when(F.col("type") == "array", F.array_join(F.try_variant_get("value", "$", "array<string>"), " ")).when(F.col("type") == "object", F.array_join(F.map_values(F.from_json(F.to_json("value"), "map<string,string>")), " "))
     words = _buckets(whole.otherwise(F.try_variant_get("value", "$", "string")))
-    nested = F.when(F.col("type").isin("object", "array"), F.col("value")) if deep else F.lit(None)
-    each = kv.select("feed", "file", "at", "key", "type", nested.alias("nested"), F.posexplode_outer(words).alias("i", "bit"))
-    first = F.coalesce(F.col("i"), F.lit(0)) == 0
+    each = kv.select("feed", "file", "at", "key", "type", F.explode_outer(words).alias("bit"))
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("bit", F.lit(64)))
     per_key = each.groupBy("feed", "file", "key").agg(
         F.min("at").alias("at"),
         *[F.max(F.when(F.col("type") == t, True)).alias(f"is_{t}") for t in TYPES],
-        # merging nested types needs an aggregate on objects, which is slow; without it all are plain numbers
-        (F.schema_of_variant_agg(F.when(first, F.col("nested"))) if deep else F.max(F.lit(""))).alias("nested"),
         F.array(*[F.coalesce(F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, one)), F.lit(0)) for w in range(BITS // 64)]).alias("values"),
     )
+    if deep:
+        # merging nested types needs an aggregate on objects, which is slow, so only the values that have some go through it; the words are plain numbers
+        trees = kv.filter(F.col("type").isin("object", "array")).groupBy("feed", "file", "key").agg(F.schema_of_variant_agg("value").alias("nested"))
+        per_key = per_key.join(trees.select(F.col("feed").alias("f"), F.col("file").alias("n"), F.col("key").alias("k"), "nested"), F.col("feed").eqNullSafe(F.col("f")) & F.col("file").eqNullSafe(F.col("n")) & (F.col("key") == F.col("k")), "left").drop("f", "n", "k")
+    else:
+        per_key = per_key.withColumn("nested", F.lit(""))
     kind = F.coalesce(*[F.when(F.col(f"is_{t}"), F.lit(t)) for t in TYPES], F.lit(""))
     fields = F.array_sort(F.collect_list(F.struct("key", kind.alias("type"), F.when(kind.isin("object", "array"), F.col("nested")).otherwise("").alias("nested"), "values")))
     per_file = per_key.groupBy("feed", "file").agg(F.min("at").alias("at"), fields.alias("fields"))
@@ -106,7 +108,7 @@ def _node(x: dict) -> Node:
     bits = 0
     for w, word in enumerate(x["values"]):
         bits |= (int(word) & (2**64 - 1)) << (64 * w)
-    kids = parse_type(x["nested"])[1] if x["type"] == "object" and x["nested"] else []
+    kids = parse_type(x["nested"])[1] if x["type"] in ("object", "array") and x["nested"] else []
     return Node(x["key"], x["type"], bits, kids)
 
 
@@ -115,7 +117,8 @@ def schema_changes(schemas: DataFrame, deep: bool = False) -> DataFrame:
 
     Files are ordered by ``at``, then by ``file``; a feed's first file has no changes; files with an equal signature are passed
     over in the JVM. ``schemas``, one row per file, should be cheap to read again. Which keys can be one field under two names is told
-    by ``key_likeness``. With ``deep``, and schemas made so, the script also tells changes below the top level and moves between levels.
+    by ``key_likeness``. The script is of the whole trees; it is given for the top level, and with ``deep`` also for what changes below it
+    and moves between levels.
     """
     both = with_previous(schemas, ["feed"], ["at", "file"], F.date_trunc("month", "at"), ["fields", "signature"])
     changed = cut(both.filter(F.col("prev").isNotNull() & (F.col("prev.signature") != F.col("signature"))).select("feed", "file", F.col("prev.fields").alias("old"), F.col("fields").alias("new")))

@@ -103,3 +103,17 @@ def test_deep_changes(spark):
     df = spark.createDataFrame(rows, "feed string, file_no bigint, exported_at timestamp, payload string")
     flat, deep = ({tuple(r)[2:] for r in schema_changes(file_schemas(df, "feed", "file_no", "exported_at", "payload", d), d).collect()} for d in (False, True))
     assert flat == set() and deep == {("retyped", "contact.phone", "contact.phone"), ("added", "", "contact.fax")}
+
+
+def test_nested_fields_are_part_of_the_schemas(spark):
+    rows = [("f", 1, day(1), '{"contact": {"phone": "1"}, "jobs": [{"firm": "x"}], "a": 1}'), ("f", 1, day(1), '{"contact": {"city": "Lyon", "at": {"zip": 5}}}'), ("f", 2, day(2), '{"contact": {"phone": 1}, "jobs": [{"firm": 1, "until": "y"}], "a": 1}')]
+    df = spark.createDataFrame(rows, "feed string, file_no bigint, exported_at timestamp, payload string")
+    schemas = file_schemas(df, "feed", "file_no", "exported_at", "payload")
+    held = {(r["file"], x["key"]): x["nested"] for r in schemas.collect() for x in r["fields"]}
+    tree = dict((k.label, (k.type, [c.label for c in k.children])) for k in parse_type(held[1, "contact"])[1])
+    assert tree == {"at": ("object", ["zip"]), "city": ("string", []), "phone": ("string", [])}
+    assert [(k.label, k.type) for k in parse_type(held[2, "jobs"])[1]] == [("firm", "integer"), ("until", "string")]
+    assert len({r["signature"] for r in schemas.collect()}) == 2
+    # only the top level is told unless more is asked for
+    assert schema_changes(schemas).count() == 0
+    assert {tuple(r)[2:] for r in schema_changes(schemas, True).collect()} >= {("retyped", "contact.phone", "contact.phone"), ("removed", "contact.city", ""), ("retyped", "jobs.firm", "jobs.firm"), ("added", "", "jobs.until")}
