@@ -9,6 +9,8 @@ key nor a large component is ever gathered in one task.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from rollweave.functions.normalize import github_login, norm_email, norm_name, t
 from rollweave.functions.phones import norm_phone
 from rollweave.functions.segments import cuts
 from rollweave.functions.tables import NAME_RATIO
-from rollweave.session import cut
+from rollweave.session import cut, store
 
 #: Records whose arrival falls in one bucket are looked at by one window.
 BUCKET = 2**33
@@ -45,24 +47,41 @@ def identity_keys(claims: DataFrame, entities: DataFrame) -> DataFrame:
     return keyed.join(entities.select("source", "candidate_key", "ent"), ["source", "candidate_key"]).select("ent", "kind", "key").distinct()
 
 
-def _ratio_keys(text: str, probe: bool) -> list[str]:
-    """Segments by which two texts of a ratio of at least ``NAME_RATIO`` meet; see ``segments``: k depends on the length of the indexed text."""
+def _most(total: int) -> int:
+    """Most insertions and deletions between two texts of this total length whose ratio is at least ``NAME_RATIO``."""
+    return int((1 - NAME_RATIO / 100) * total + 1e-9)
+
+
+@lru_cache(maxsize=1000)
+def _ratio_shapes(length: int, probe: bool) -> list[tuple[int, int, int, int]]:
+    """Length and number of a segment, start and length of the substring: of the segments of a text, or for ``probe`` of what may be one of a text that isn't longer.
+
+    With one segment more than changes, one segment is whole and has as many changes before it as segments; each change moves it by one.
+    """
     far = (200 - NAME_RATIO) / NAME_RATIO  # longest partner, as a multiple
-    most = lambda n: int((1 - NAME_RATIO / 100) * (n + n * far) + 1e-9)
+    parts = lambda n: list(enumerate(cuts(n, _most(int(n + n * far + 1e-9)))))
     if not probe:
-        return [f"{len(text)}:{i}:{text[p : p + n]}" for i, (p, n) in enumerate(cuts(len(text), most(len(text))))]
-    out = set()
-    for length in range(int(len(text) / far), int(len(text) * far) + 2):
-        k = most(length)
-        moved = len(text) - length
-        for i, (p, n) in enumerate(cuts(length, k)):
-            for at in range(max(0, p - i, p + moved - (k - i)), min(len(text) - n, p + i, p + moved + (k - i)) + 1):
-                out.add(f"{length}:{i}:{text[at : at + n]}")
-    return sorted(out)
+        return [(length, i, p, n) for i, (p, n) in parts(length)]
+    out = []
+    for other in range(int(length / far), length + 1):
+        less = length - other
+        k = _most(length + other)
+        k -= (k - less) % 2
+        for i, (p, n) in parts(other)[: max(k, -1) + 1]:
+            out += [(other, i, p + moved, n) for moved in range(-i, i + 1, 2) if abs(less - moved) <= k - i and 0 <= p + moved <= length - n]
+    return out
+
+
+def _ratio_keys(text: str, probe: bool) -> list[str]:
+    """Segments by which two texts of a ratio of at least ``NAME_RATIO`` meet; the longer one probes, of two equally long ones both do."""
+    return list({f"{n}:{i}:{text[p : p + size]}" for n, i, p, size in _ratio_shapes(len(text), probe)})
 
 
 def alike_names(people: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of different sorted names of one ``company`` whose ratio 200 * LCS / (len a + len b) is at least ``NAME_RATIO``."""
+    """Pairs ``a``, ``b`` of different sorted names of one ``company`` whose ratio 200 * LCS / (len a + len b) is at least ``NAME_RATIO``.
+
+    A name has many segments, of which the planner's estimates know nothing, so the join is a merge: neither side is ever sent to the driver.
+    """
 
     def keys(probe: bool) -> Column:
         @F.pandas_udf("array<string>")
@@ -71,18 +90,20 @@ def alike_names(people: DataFrame) -> DataFrame:
 
         return F.explode(run("sorted"))
 
-    d = cut(people.select("company", "sorted").distinct())
+    d = store(people.select("company", "sorted").distinct())
     index = d.withColumn("k", keys(False)).select("company", F.xxhash64("k").alias("k"), F.col("sorted").alias("a"))
     probe = d.withColumn("k", keys(True)).select("company", F.xxhash64("k").alias("k"), F.col("sorted").alias("b"))
     most = (1 - NAME_RATIO / 100) * (F.length("a") + F.length("b"))
-    near = index.join(probe, ["company", "k"]).filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b") <= most + 1e-9)).select("company", "a", "b").distinct()
+    once = (F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
+    near = index.hint("merge").join(probe.hint("merge"), ["company", "k"]).filter(once & (F.levenshtein("a", "b") <= most + 1e-9)).select("company", "a", "b").distinct()
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    both = near.filter(ratio("a", "b") >= NAME_RATIO)
-    return both.unionByName(both.select("company", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # each pair is found once and given both ways
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return near.filter(ratio("a", "b") >= NAME_RATIO).select("company", ways.alias("w")).select("company", "w.a", "w.b")
 
 
 def lcs_ratio(a: str, b: str) -> float:
