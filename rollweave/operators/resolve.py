@@ -19,7 +19,7 @@ from rollweave.functions.normalize import github_login, norm_email, norm_name, t
 from rollweave.functions.phones import norm_phone
 from rollweave.functions.segments import cuts
 from rollweave.functions.tables import NAME_RATIO
-from rollweave.session import cut, store
+from rollweave.session import drop, store
 
 #: Records whose arrival falls in one bucket are looked at by one window.
 BUCKET = 2**33
@@ -44,7 +44,7 @@ def identity_keys(claims: DataFrame, entities: DataFrame) -> DataFrame:
     c = claims.filter(F.col("field").isin("emails", "phones", "links.github")).select("source", "candidate_key", "field", "value_text").distinct()
     key = F.when(F.col("field") == "emails", norm_email(value)).when(F.col("field") == "phones", norm_phone(F.when(F.col("field") == "phones", value))).otherwise(github_login(value))
     keyed = c.select("source", "candidate_key", F.col("field").alias("kind"), key.alias("key")).filter(F.col("key").isNotNull())
-    return keyed.join(entities.select("source", "candidate_key", "ent"), ["source", "candidate_key"]).select("ent", "kind", "key").distinct()
+    return keyed.join(entities.select("source", "candidate_key", "ent").hint("merge"), ["source", "candidate_key"]).select("ent", "kind", "key").distinct()
 
 
 def _most(total: int) -> int:
@@ -123,44 +123,47 @@ def _least_before(rows: DataFrame, keys: list[str]) -> DataFrame:
     inner = Window.partitionBy(*keys, "b").orderBy("ent").rowsBetween(Window.unboundedPreceding, -1)
     r = rows.withColumn("b", F.floor(F.col("ent") / BUCKET)).withColumn("m1", F.min("c").over(inner))
     per = r.groupBy(*keys, "b").agg(F.min("c").alias("g")).withColumn("m2", F.min("g").over(Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).drop("g")
-    return r.join(per, [*keys, "b"]).withColumn("m", F.least(F.coalesce("m1", "m2"), F.coalesce("m2", "m1"))).drop("b", "m1", "m2")
+    return r.join(per.hint("merge"), [*keys, "b"]).withColumn("m", F.least(F.coalesce("m1", "m2"), F.coalesce("m2", "m1"))).drop("b", "m1", "m2")
 
 
 def greedy_clusters(entities: DataFrame, keys: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """``ent`` and ``cluster_id`` (the first record of the cluster) by the sequential rule. Records without keys, name or firm stay alone.
 
-    ``entities`` has ``ent``, ``name`` and ``company``, ``keys`` has ``ent``, ``kind`` and ``key``.
+    ``entities`` has ``ent``, ``name`` and ``company``, ``keys`` has ``ent``, ``kind`` and ``key``. Steps are stored, not
+    checkpointed: a checkpoint keeps the planner's estimate of its size, which joins and exploded lists put far off, and the files of all rounds.
+    Joins are merges, as in ``connected``, so that no table of records is sent to the driver.
     """
-    e = cut(entities.select("ent", "company", "name", token_sorted(F.col("name")).alias("sorted")))
-    keys = cut(keys)
+    e = store(entities.select("ent", "company", "name", token_sorted(F.col("name")).alias("sorted")))
+    keys = store(keys)
     # whether an earlier record shares a key doesn't depend on labels
     hit = _least_before(keys.withColumn("c", F.col("ent")), ["kind", "key"]).filter("m IS NOT NULL").select("ent").distinct()
-    alone = e.join(hit, "ent", "left_anti").filter(F.col("sorted").isNotNull() & F.col("company").isNotNull())
+    alone = store(e.join(hit.hint("merge"), "ent", "left_anti").filter(F.col("sorted").isNotNull() & F.col("company").isNotNull()).select("ent", "company", F.col("sorted").alias("b")))
     named = e.filter(F.col("sorted").isNotNull() & F.col("company").isNotNull())
-    pairs = alike_names(named)
-    same = alone.select("ent", "company", F.col("sorted").alias("b"))
+    pairs = alike_names(named).select("company", F.col("a").alias("b"), F.col("b").alias("to"))
     # earlier records of the firm with the same or an alike name; per name only the earliest of each cluster matters, so names are joined, not records
-    wanted = cut(same.unionByName(same.join(pairs.select("company", F.col("a").alias("b"), F.col("b").alias("to")), ["company", "b"]).select("ent", "company", F.col("to").alias("b"))).distinct())
-    label = cut(e.select("ent", F.col("ent").alias("c")))
+    wanted = store(alone.unionByName(alone.join(pairs.hint("merge"), ["company", "b"]).select("ent", "company", F.col("to").alias("b"))).distinct(), alone)
+    label = store(e.select("ent", F.col("ent").alias("c")))
     for _ in range(most_rounds):
-        exact = _least_before(keys.join(label, "ent"), ["kind", "key"]).groupBy("ent").agg(F.min("m").alias("x"))
-        member = named.join(label, "ent")
+        merged = label.hint("merge")
+        exact = _least_before(keys.join(merged, "ent"), ["kind", "key"]).groupBy("ent").agg(F.min("m").alias("x"))
+        member = named.join(merged, "ent")
         arrival = member.groupBy("company", "c").agg(F.min("ent").alias("arrived"))
         faces = member.groupBy("company", "sorted", "c").agg(F.min("ent").alias("since")).withColumnRenamed("sorted", "b")
-        options = wanted.join(faces, ["company", "b"]).filter(F.col("since") < F.col("ent")).join(arrival, ["company", "c"])
+        options = wanted.join(faces.hint("merge"), ["company", "b"]).filter(F.col("since") < F.col("ent")).join(arrival.hint("merge"), ["company", "c"])
         fuzzy = options.groupBy("ent").agg(F.min_by("c", "arrived").alias("z"))
-        new = cut(label.join(exact, "ent", "left").join(fuzzy, "ent", "left").select("ent", F.col("c").alias("old"), F.coalesce("x", "z", "ent").alias("c")))
-        moved = new.filter(F.col("c") != F.col("old")).limit(1).count()
-        label = new.select("ent", "c")
-        if not moved:
+        new = label.join(exact.hint("merge"), "ent", "left").join(fuzzy.hint("merge"), "ent", "left").select("ent", F.col("c").alias("old"), F.coalesce("x", "z", "ent").alias("c"))
+        label = store(new, label)
+        if not label.filter(F.col("c") != F.col("old")).limit(1).count():
             break
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+    for done in (e, keys, wanted):
+        drop(done)
     return label.select("ent", F.col("c").alias("cluster_id"))
 
 
 def resolve(claims: DataFrame) -> DataFrame:
     """``claims`` with ``cluster_id`` and ``member`` (order of the record in the cluster)."""
-    entities = cut(source_entities(claims))
-    placed = greedy_clusters(entities, identity_keys(claims, entities)).join(entities.select("ent", "source", "candidate_key"), "ent")
-    return claims.join(placed.select("source", "candidate_key", F.col("ent").alias("member"), "cluster_id"), ["source", "candidate_key"])
+    entities = store(source_entities(claims))
+    placed = greedy_clusters(entities, identity_keys(claims, entities)).join(entities.select("ent", "source", "candidate_key").hint("merge"), "ent")
+    return claims.join(placed.select("source", "candidate_key", F.col("ent").alias("member"), "cluster_id").hint("merge"), ["source", "candidate_key"])

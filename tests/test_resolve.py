@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from rollweave.operators.resolve import _ratio_keys, alike_names, lcs_ratio
+from rollweave.operators import resolve
+from rollweave.operators.resolve import _ratio_keys, alike_names, greedy_clusters, lcs_ratio
+from rollweave.session import store
 
 
 def plan(df):
@@ -35,3 +37,21 @@ def test_segments_of_names_are_not_broadcast(spark):
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
     p = plan(alike_names(people))
     assert "Broadcast" not in p and p.count("SortMergeJoin") == 1
+
+
+def test_rounds_are_not_broadcast_and_keep_only_their_last_labels(spark, monkeypatch):
+    """Records 0 and 2 share a key, 3 has the name of 2 and 4 a name alike to that of 3."""
+    entities = store(spark.createDataFrame([(0, "Ann Kalovric", "f"), (1, "Bob Reston", "f"), (2, "Ann Maria Kalovric", "g"), (3, "Ann Maria Kalovric", "g"), (4, "Ann Maria Kalovrik", "g")], "ent bigint, name string, company string"))
+    keys = store(spark.createDataFrame([(0, "emails", "a@x.io"), (2, "emails", "a@x.io")], "ent bigint, kind string, key string"))
+    plans, kept = [], []
+
+    def watched(df, *done):
+        plans.append(plan(df))
+        kept.append(store(df, *done))
+        return kept[-1]
+
+    monkeypatch.setattr(resolve, "store", watched)
+    got = {r["ent"]: r["cluster_id"] for r in greedy_clusters(entities, keys).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
+    assert sum("stored_at" in k.__dict__ for k in kept) == 2  # the names of the last look-up and the labels
