@@ -119,7 +119,7 @@ def normalized(claims: DataFrame) -> DataFrame:
     # regions in which a cluster's local phone numbers are tried, the most certain country first
     land = c.filter(F.col("field") == "location.country").withColumn("land", norm_country(F.col("value_text"), spark)).filter(F.col("land").isNotNull())
     lands = land.groupBy("cluster_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("raw_confidence")).alias("c"), "at", "land"))), lambda x: x["land"])).alias("regions"))
-    c = c.join(lands, "cluster_id", "left")
+    c = c.join(lands.hint("merge"), "cluster_id", "left")
     text, field = F.col("value_text"), F.col("field")
     only = lambda f: F.when(field == f, text)
     phone = norm_phone_in(only("phones"), F.coalesce("regions", F.array().cast("array<string>")))
@@ -163,7 +163,8 @@ def merge(resolved: DataFrame, as_of: int) -> Merged:
     exp, edu = _histories(c)
     j = base
     for part in (wide, wide_lists, skills, other, exp, edu):
-        j = j.join(part, "cluster_id", "left")
+        # a merge, as all parts lie by cluster already; estimates of lists are too low for a broadcast
+        j = j.join(part.hint("merge"), "cluster_id", "left")
     none = F.lit(None)
     empty = F.array().cast("array<string>")
     given_years = F.col("years_experience.value").try_cast("double")

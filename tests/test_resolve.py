@@ -5,8 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from rollweave.operators import resolve
+from rollweave.operators.merge import normalized
 from rollweave.operators.resolve import _ratio_keys, alike_names, greedy_clusters, lcs_ratio
 from rollweave.session import store
+from rollweave.sources.csv import table_claims
 
 
 def plan(df):
@@ -55,3 +57,10 @@ def test_rounds_are_not_broadcast_and_keep_only_their_last_labels(spark, monkeyp
     assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
     assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
     assert sum("stored_at" in k.__dict__ for k in kept) == 2  # the names of the last look-up and the labels
+
+
+def test_claims_meet_their_cluster_without_a_broadcast(spark):
+    people = spark.range(20).select(F.concat(F.lit("Ann "), F.col("id").cast("string")).alias("name"), F.lit("Germany").alias("country"), F.col("id"))
+    claims = table_claims(people.select("name", "country", "id"), F.col("id")).withColumns({"cluster_id": F.col("ord.row"), "member": F.col("ord.row")})
+    p = plan(normalized(claims))
+    assert "Broadcast" not in p and "SortMergeJoin" in p
